@@ -43,8 +43,7 @@ class Scheme:
         return out
 
     def label(self, x) -> Column:
-        o = self.ordinal(x)
-        return F.element_at(F.array(*[F.lit(s) for s in self.labels]), o + 1)
+        return F.get(F.array(*[F.lit(s) for s in self.labels]), self.ordinal(x))
 
 
 _INF = math.inf

@@ -31,7 +31,7 @@ def state_ordinal(ema: str, conf: StudyConfig = DEFAULT.study) -> Column:
 
 def candidate_state(ema: str, conf: StudyConfig = DEFAULT.study) -> Column:
     names = F.array(*[F.lit(s) for s in cfg.CANDIDATE_STATES])
-    return F.element_at(names, state_ordinal(ema, conf) + 1)
+    return F.get(names, state_ordinal(ema, conf))
 
 
 def is_resetting(ema: str, conf: StudyConfig = DEFAULT.study) -> Column:

@@ -60,10 +60,10 @@ def _streamer(key: str, specs: list[tuple[str, str, int]], names: list[str]):
                 waiting.append(table)
                 continue
             cut = tail_start(table)
-            ready = pa.concat_tables(waiting + ([table.slice(0, cut)] if cut else []))
+            done = waiting + ([table.slice(0, cut)] if cut else [])
             waiting = [table.slice(cut)]
-            if ready.num_rows:
-                yield from emit(ready)
+            if done:
+                yield from emit(pa.concat_tables(done))
         if waiting:
             yield from emit(pa.concat_tables(waiting))
 

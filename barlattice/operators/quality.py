@@ -169,7 +169,7 @@ def quantile_buckets(
     mids = wide_quantiles(coded, {o: (o, 0.5) for o in outcomes})
     return counts.join(mids, "_o", "left").select(
         F.col("_o").alias(f"{label}_bucket"),
-        F.element_at(F.lit(lit), F.col("_o")).alias("bucket_lo"),
-        F.element_at(F.lit(lit), F.col("_o") + 1).alias("bucket_hi"),
+        F.get(F.lit(lit), F.col("_o") - 1).alias("bucket_lo"),
+        F.get(F.lit(lit), F.col("_o")).alias("bucket_hi"),
         *outcomes, "n",
     )

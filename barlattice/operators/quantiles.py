@@ -101,7 +101,7 @@ def exact_quantiles(coded: Coded, metrics: list[Metric], few_groups: bool = True
     wanted = F.array(*[
         F.array(*[F.lit(float(p)) for p in m.probs]) for m in metrics
     ])
-    probs = F.explode(F.element_at(wanted, F.col("m") + 1))
+    probs = F.explode(F.get(wanted, F.col("m")))
     targets = counts.withColumn("p", probs)
     spot = (F.col("n") - 1) * F.col("p")
     targets = targets.withColumns({
@@ -146,7 +146,7 @@ def exact_quantiles(coded: Coded, metrics: list[Metric], few_groups: bool = True
     names = F.array(*[F.lit(m.name) for m in metrics])
     return picked.select(
         *keys,
-        F.element_at(names, F.col("m") + 1).alias("metric"),
+        F.get(names, F.col("m")).alias("metric"),
         F.col("p").alias("prob"),
         (F.col("low") + (F.col("high") - F.col("low")) * F.col("frac")).alias("value"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column lists of the tables.
-LANDED_BAR = T.StructType([
+VENDOR_BAR = T.StructType([
     T.StructField("T", T.StringType()),
     T.StructField("o", T.DoubleType()),
     T.StructField("h", T.DoubleType()),
@@ -19,11 +19,13 @@ LANDED_BAR = T.StructType([
     T.StructField("t", T.LongType()),
 ])
 
-LANDED_RENAMES = {
+VENDOR_RENAMES = {
     "T": "ticker", "o": "open", "h": "high", "l": "low", "c": "close",
     "v": "volume", "vw": "vwap", "n": "transactions", "t": "epoch_ms",
 }
 
+LANDED_BAR = T.StructType([T.StructField(VENDOR_RENAMES[f.name], f.dataType) for f in VENDOR_BAR.fields])
+
 BAR_COLUMNS = ["date", "ticker", "open", "high", "low", "close", "volume", "vwap"]
 
 LANDED_REFERENCE = T.StructType([
@@ -70,6 +72,9 @@ LANDED = {
     "reference_tickers": LANDED_REFERENCE,
 }
 
+# What a vendor's own day files hold, and how its columns are named here.
+VENDOR = {**LANDED, "grouped_daily": VENDOR_BAR, "grouped_daily_unadjusted": VENDOR_BAR}
+
 BOOLEAN_COLUMNS = {"eligible", "asset_type_ok", "adr20_ok", "market_cap_ok", "active"}
 STRING_COLUMNS = {"ticker"} | {
     f.name for f in LANDED_REFERENCE.fields if isinstance(f.dataType, T.StringType)

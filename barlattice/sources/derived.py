@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # The shape of the derived panel.
 FIRST_WEEK = "1995-01-02"
-ADJUST_EVERY, ADJUST_AT, ADJUST_BY = 7, 2, 10000.0
+ADJUST_EVERY, ADJUST_AT, ADJUST_BY = 7, 2, 2048.0
 INDEX_ID = "IDX"
 # End of fixed values.
 
@@ -116,9 +116,9 @@ def index_members(bars: DataFrame) -> DataFrame:
 
 
 def index_series(bars: DataFrame) -> DataFrame:
-    """The index's own bars: mean price of all tickers, in exact micro-units."""
+    """The index's own bars: mean price of all tickers, in exact thousandths."""
     def mean(c: str):
-        return (F.expr(f"sum(cast(round({c} * 1000000) as bigint)) div count(*)") / F.lit(1000000.0)).alias(c)
+        return (F.expr(f"sum(cast(round({c} * 1000) as bigint)) div count(*)") / F.lit(1000.0)).alias(c)
 
     return bars.groupBy("date").agg(*[mean(c) for c in ("open", "high", "low", "close")]).withColumn(
         "index_id", F.lit(INDEX_ID)
