@@ -9,22 +9,49 @@ the rows, whatever the distribution looks like.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_PIECES = 1024
+DEFAULT_PIECES = 256
 
 
-def value_edges(df: DataFrame, columns: dict[str, Column | str], pieces: int = DEFAULT_PIECES) -> dict[str, np.ndarray]:
-    """Sorted distinct edges per column: one pass, a bounded sketch, `pieces` numbers per column."""
+@dataclass(frozen=True)
+class Edges:
+    """Bin edges of one column. Bin k holds edge[k-1] < x <= edge[k].
+
+    A value that alone makes up a whole piece or more is heavy. It gets a bin of its own
+    (listed in `pure`), closed off by the next smaller number, so that every other bin is
+    small whatever the ties.
+    """
+
+    edges: np.ndarray
+    pure: tuple[int, ...] = ()
+
+    def bin_of(self, x: Column) -> Column:
+        return bin_of(x, self.edges)
+
+    def is_pure(self, b: Column) -> Column:
+        return b.isin(*self.pure) if self.pure else F.lit(False)
+
+
+def value_edges(df: DataFrame, columns: dict[str, Column | str], pieces: int = DEFAULT_PIECES) -> dict[str, Edges]:
+    """Edges per column: one pass, a bounded mergeable sketch, about `pieces` numbers per column."""
     probs = [i / pieces for i in range(1, pieces)]
     row = df.agg(*[
         F.approx_percentile(F.col(c) if isinstance(c, str) else c, probs, 4 * pieces).alias(n)
         for n, c in columns.items()
     ]).first()
-    return {n: np.unique(np.array(row[n] or [], dtype="float64")) for n in columns}
+    return {n: _edges(np.array(row[n] or [], dtype="float64")) for n in columns}
+
+
+def _edges(found: np.ndarray) -> Edges:
+    values, counts = np.unique(found, return_counts=True)
+    heavy = values[counts > 1]
+    edges = np.union1d(values, np.nextafter(heavy, -np.inf))
+    return Edges(edges, tuple(int(i) for i in np.searchsorted(edges, heavy)))
 
 
 def bin_of(x: Column, edges: np.ndarray) -> Column:

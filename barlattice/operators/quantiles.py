@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .bins import DEFAULT_PIECES, bin_of, value_edges
+from .bins import DEFAULT_PIECES, value_edges
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def code_rows(
     coded = rows.select(
         *[(F.col(e) if isinstance(e, str) else e).alias(k) for k, e in groups.items()],
         *dict.fromkeys([*columns, *keep]),
-        *[bin_of(F.col(c), edges[c]).alias(f"_bin_{i}") for i, c in enumerate(columns)],
+        *[edges[c].bin_of(F.col(c)).alias(f"_bin_{i}") for i, c in enumerate(columns)],
     )
     for name, kind in coded.dtypes:
         if name in groups and kind.startswith("array"):
@@ -128,8 +128,10 @@ def exact_quantiles(coded: Coded, metrics: list[Metric], few_groups: bool = True
     )
     values = hits.groupBy(*gm, "b", "x").agg(F.count(F.lit(1)).alias("ties"))
     values = values.withColumn("upto", F.sum("ties").over(_running(gm + ["b"], "x")))
+    # The coded values may be many; only the wanted bins may travel.
+    asked = F.broadcast(by_bin) if few_groups else by_bin.hint("merge")
     picked = (
-        values.join(by_bin, gm + ["b"])
+        values.join(asked, gm + ["b"])
         .select(
             *gm, "x", F.explode("asks").alias("a"),
             (F.col("before") + F.col("upto") - F.col("ties")).alias("from_rank"),

@@ -1,18 +1,20 @@
 """Average-rank percentiles inside each date's eligible set, without one task per date.
 
-The rank of a value is (values below it) + (ties + 1) / 2. Rows are first reduced to
-distinct values with counts, the values are split into order-preserving bins, bins get
-their offset from a running count of the bins before, and only the values of one bin are
-ever sorted together. So a date holding a large part of all rows, or one value shared by
-many of them, is spread over many tasks.
+Values are split into order-preserving bins (see `bins`). The rank of a value is the
+number of rows in earlier bins plus its rank inside its own bin, so only the rows of one
+(date, bin) are sorted together. A heavy value has a bin of its own where every row has the
+same rank; those rows need no order and are spread by a salt. So neither a date holding a
+large part of all rows nor a value shared by many of them ends up in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bins import DEFAULT_PIECES, bin_of, value_edges
+from .bins import DEFAULT_PIECES, value_edges
+
+_SALTS = 64
 
 
 def rank_percentiles(
@@ -30,37 +32,44 @@ def rank_percentiles(
     """
     names = list(sources)
     edges = value_edges(rows, sources, pieces)
-    slots = F.array(*[
-        F.struct(F.lit(i).alias("h"), bin_of(F.col(src), edges[name]).alias("b"), F.col(src).alias("x"))
-        for i, (name, src) in enumerate(sources.items())
-    ])
+    salt = F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
+
+    def slot(i: int, name: str) -> Column:
+        e, x = edges[name], F.col(sources[name])
+        b = e.bin_of(x)
+        pure = e.is_pure(b)
+        return F.struct(
+            F.lit(i).alias("h"), b.alias("b"), x.alias("x"), pure.alias("pure"),
+            F.when(pure, salt).otherwise(0).alias("salt"),
+        )
+
+    slots = F.array(*[slot(i, n) for i, n in enumerate(names)])
     long = (
         rows.select(group, key, F.explode(F.filter(slots, lambda s: s["x"].isNotNull())).alias("s"))
-        .select(group, key, "s.h", "s.b", "s.x")
+        .select(group, key, "s.*")
     )
-    values = long.groupBy(group, "h", "b", "x").agg(F.count(F.lit(1)).alias("ties"))
+    # Per (group, horizon) this is at most one row per bin.
     over_bins = Window.partitionBy(group, "h").orderBy("b")
-    pieces_of = (
-        long.groupBy(group, "h", "b").agg(F.count(F.lit(1)).alias("size"))
+    offsets = (
+        long.groupBy(group, "h", "b").agg(F.count(F.lit(1)).alias("size"), F.first("pure").alias("pure"))
         .withColumns({
             "before": F.sum("size").over(over_bins.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
             "total": F.sum("size").over(Window.partitionBy(group, "h")),
         })
-        .drop("size")
-    )
-    inside = Window.partitionBy(group, "h", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        values.withColumn("upto", F.sum("ties").over(inside))
-        .join(pieces_of, [group, "h", "b"])
-        .select(
-            group, "h", "x",
-            (
-                (F.col("before") + F.col("upto") - F.col("ties") + (F.col("ties") + F.lit(1)) / F.lit(2.0))
-                / F.col("total") * F.lit(100.0)
-            ).alias("pct"),
-        )
+        .withColumn("salt", F.explode(
+            F.when(F.col("pure"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        ))
+        .drop("pure")
     )
-    scored = long.select(group, key, "h", "x").join(ranked, [group, "h", "x"])
-    return scored.groupBy(group, key).agg(*[
+    piece = [group, "h", "b", "salt"]
+    inside = Window.partitionBy(*piece).orderBy("x")
+    ranked = long.withColumns({
+        "place": F.rank().over(inside),
+        "ties": F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow)),
+    }).join(offsets.hint("merge"), piece)
+    below = F.col("before") + F.when(F.col("pure"), 0).otherwise(F.col("place") - 1)
+    same = F.when(F.col("pure"), F.col("size")).otherwise(F.col("ties"))
+    pct = (below + (same + F.lit(1)) / F.lit(2.0)) / F.col("total") * F.lit(100.0)
+    return ranked.withColumn("pct", pct).groupBy(group, key).agg(*[
         F.max(F.when(F.col("h") == i, F.col("pct"))).alias(n) for i, n in enumerate(names)
     ])
