@@ -421,11 +421,11 @@ def _decile(column, label):
 
 
 def _breadth_decile(column):
-    return lambda f: rounded(breadth_sanity(f.breadth())[f"{column}_bucket"])
+    return lambda f: rounded(breadth_sanity(f.breadth(), [column])[f"{column}_bucket"])
 
 
 def _index_decile(column):
-    return lambda f: rounded(index_sanity(f.health(), f.index_outcomes())[f"{column}_bucket"])
+    return lambda f: rounded(index_sanity(f.health(), f.index_outcomes(), [column])[f"{column}_bucket"])
 
 
 def _landed(f):

@@ -213,20 +213,20 @@ class Engine:
         return tables
 
 
-def breadth_sanity(market: DataFrame) -> dict[str, DataFrame]:
+BREADTH_SERIES = ("breadth_rs80plus_share", "breadth_rs90plus_share")
+INDEX_SERIES = ("mco_z", "mcsi_z", "pct_above_ema21", "high_low_pct")
+
+
+def breadth_sanity(market: DataFrame, series=BREADTH_SERIES) -> dict[str, DataFrame]:
     """Deciles of the same-day RS breadth against the cohort's own later performance."""
     outs = ["median_forward_return_10d", "median_mfe_pct_10d", "median_mae_pct_10d", "share_positive_10d"]
-    rows = stage(market.select("breadth_rs80plus_share", "breadth_rs90plus_share", *outs), "sanity")
-    return {
-        f"{c}_bucket": quality.quantile_buckets(rows, c, outs, c)
-        for c in ("breadth_rs80plus_share", "breadth_rs90plus_share")
-    }
+    rows = stage(market.select(*series, *outs), "sanity")
+    return {f"{c}_bucket": quality.quantile_buckets(rows, c, outs, c) for c in series}
 
 
-def index_sanity(health: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+def index_sanity(health: DataFrame, outcomes: DataFrame, series=INDEX_SERIES) -> dict[str, DataFrame]:
     """Deciles of the index health series against the index's later outcomes."""
     outs = ["qqq_forward_return_10d", "qqq_mfe_pct_10d", "qqq_mae_pct_10d", "qqq_max_drawdown_pct_10d"]
-    series = ["mco_z", "mcsi_z", "pct_above_ema21", "high_low_pct"]
     rows = stage(
         health.select("index_id", "date", *series).join(outcomes.select("index_id", "date", *outs), ["index_id", "date"]),
         "sanity",

@@ -122,12 +122,11 @@ def coverage_gaps(calendar: DataFrame, manifest: DataFrame) -> DataFrame:
 def write_days(df: DataFrame, root: str, source: str) -> None:
     """Write rows as day directories, replacing just the days that occur in them.
 
-    Rows are spread over `date` plus a small salt, so a day holding a large part of all
-    rows is written by several tasks.
+    Rows are rebalanced by date: a day holding a large part of all rows is split over
+    several tasks by size, and small days share a task.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != "date"]), F.lit(4))
     (
-        df.repartition("date", salt)
+        df.hint("rebalance", F.col("date"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("date").parquet(source_path(root, source))
     )
@@ -142,10 +141,9 @@ def write_empty_day(spark: SparkSession, root: str, source: str, day: date) -> N
 def ingest_days(incoming: DataFrame, root: str, source: str, force: bool = False) -> dict[str, int]:
     """Land only the days not landed yet (all of them with `force`); counts of days."""
     spark = incoming.sparkSession
-    days = incoming.select("date").distinct()
     done = landed_dates(spark, root, source)
-    known = days.join(done, "date", "left_semi").count()
-    fresh = days.join(done, "date", "left_anti").count()
+    days = incoming.select("date").distinct().join(done.withColumn("known", F.lit(1)), "date", "left")
+    known, fresh = days.agg(F.count("known"), F.count_if(F.col("known").isNull())).first()
     todo = incoming if force else incoming.join(F.broadcast(done), "date", "left_anti")  # calendar-sized
     if force or fresh:
         write_days(todo, root, source)

@@ -30,14 +30,18 @@ class Warehouse:
     def write(self, table: str, df: DataFrame, cluster_by: str = "ticker") -> None:
         """Replace the years that occur in `df` and no others.
 
-        Rows are spread over year and ticker hash and sorted inside files, so per-ticker
-        and per-date reads prune row groups and no task gets a whole year.
+        Rows are rebalanced by year and a hash of the ticker and sorted inside files:
+        per-ticker reads skip row groups, large pieces are split by size, small ones merged.
         """
-        keys = [F.year("date")] + ([F.pmod(F.xxhash64(cluster_by), F.lit(64))] if cluster_by in df.columns else [])
+        out = df.withColumn("year", F.year("date"))
+        if cluster_by in df.columns:
+            out = out.withColumn("_piece", F.pmod(F.xxhash64(cluster_by), F.lit(1024)))
+            out = out.hint("rebalance", F.col("year"), F.col("_piece")).drop("_piece")
+        else:
+            out = out.hint("rebalance", F.col("year"))
         order = [c for c in (cluster_by, "source", "date") if c in df.columns]
         (
-            df.withColumn("year", F.year("date"))
-            .repartition(*keys).sortWithinPartitions("year", *order)
+            out.sortWithinPartitions("year", *order)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("year").parquet(f"{self.path(table)}/data")
         )
