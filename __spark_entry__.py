@@ -246,7 +246,7 @@ def _outcome_query(stems):
 
 
 def q_first_hit_day(f):
-    df = outcomes.add_first_hits(f.bars(), DEFAULT.outcomes, (20,))
+    df = outcomes.add_first_hits(f.bars(), DEFAULT.outcomes, 20)
     return df.select(*KEY, *[F.col(f"_{s}_{t}").cast("long").alias(f"first_{s}_{t}") for s in ("up", "down") for t in ("5", "10")])
 
 

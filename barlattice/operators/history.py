@@ -30,36 +30,30 @@ def add_prior_extension_history(
         **{f"max_atr_extension_prior_{n}d": F.max(ext).over(axis.past(n)) for n in conf.windows},
         "n_valid_days_prior_peak_window": F.count(ext).over(axis.past(w)),
         "_best": best,
-        # Bounded by the window: at most `w` rows per array.
-        "_recent": F.collect_list(
-            F.struct(
-                F.col("_pos").alias("p"),
-                F.col("distance_ema10_pct").alias("d10"),
-                F.col("distance_ema20_pct").alias("d20"),
-            )
-        ).over(axis.rows().rowsBetween(-(w - 1), 0)),
+        # The last `w` rows' distances as plain columns (bounded), see `outcomes.add_leads`.
+        **{f"_d{e}_{k}": axis.lag(f"distance_ema{e}_pct", k) for e in (10, 20) for k in range(1, w)},
     })
     out = out.withColumns({
         "atr_extension_peak": F.col("_best.v"),
-        "_peak_pos": -F.col("_best.p"),
+        "_ago": F.col("_pos") + F.col("_best.p"),
     })
 
-    def since(field: str):
-        return F.array_min(
-            F.transform("_recent", lambda e: F.when(e["p"] > F.col("_peak_pos"), e[field]))
-        )
+    def since(e: int):
+        """Smallest distance over the rows after the peak, the current one included."""
+        terms = [F.col(f"distance_ema{e}_pct")] + [F.col(f"_d{e}_{k}") for k in range(1, w)]
+        return F.least(*[F.when(F.col("_ago") > k, t) for k, t in enumerate(terms)])
 
     out = out.withColumns({
-        "days_since_atr_extension_peak": (F.col("_pos") - F.col("_peak_pos")).cast("double"),
+        "days_since_atr_extension_peak": F.col("_ago").cast("double"),
         "atr_extension_drawdown_from_peak": ext - F.col("atr_extension_peak"),
-        "min_distance_ema10_pct_since_peak": since("d10"),
-        "min_distance_ema20_pct_since_peak": since("d20"),
+        "min_distance_ema10_pct_since_peak": since(10),
+        "min_distance_ema20_pct_since_peak": since(20),
     })
     out = out.withColumns({
         f"touched_ema{n}_since_peak": (F.col(f"min_distance_ema{n}_pct_since_peak") <= 0).cast("double")
         for n in (10, 20)
     })
-    return out.drop("_pos", "_best", "_recent", "_peak_pos")
+    return out.drop("_pos", "_best", "_ago", *[f"_d{e}_{k}" for e in (10, 20) for k in range(1, w)])
 
 
 HISTORY_COLUMNS = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,29 +14,42 @@ from ..schemas import require_columns
 from .technical import add_new_high
 
 
-def add_first_hits(df: DataFrame, conf: OutcomeConfig, horizons, axis: Axis = TICKER) -> DataFrame:
-    """First forward row (1-based) whose high reaches +th or whose low reaches -th.
+def add_leads(df: DataFrame, longest: int, axis: Axis = TICKER) -> DataFrame:
+    """High and low of each of the next `longest` rows as plain columns `_h<k>`, `_l<k>`.
 
-    The forward slots are gathered once, for the longest horizon (a bounded array); a
-    shorter horizon only has to compare the first-hit row with its own length.
+    A bounded number of offsets into the same sorted partition: everything after it is
+    branch-only arithmetic on the row, which compiles, unlike lambdas over an array.
     """
-    longest = max(horizons)
-    slots = F.collect_list(F.struct(F.col("high").alias("h"), F.col("low").alias("l"))).over(axis.ahead(longest))
-    out = df.withColumn("_slots", slots)
-    close = F.col("close")
+    return df.withColumns({
+        f"_{c[0]}{k}": axis.lead(c, k) for c in ("high", "low") for k in range(1, longest + 1)
+    })
+
+
+def lead_names(longest: int) -> list[str]:
+    return [f"_{c}{k}" for c in ("h", "l") for k in range(1, longest + 1)]
+
+
+def first_hit_columns(conf: OutcomeConfig, longest: int) -> dict[str, Column]:
+    """First forward row (1-based) whose high reaches +th or whose low reaches -th, NULL for none.
 
+    Found once for the longest horizon; a shorter one only compares the row with its length.
+    """
     def first(test) -> Column:
-        return F.array_min(
-            F.transform("_slots", lambda e, i: F.when(e["h"].isNotNull() & test(e), i + F.lit(1)))
-        )
+        return F.coalesce(*[
+            F.when(F.col(f"_h{k}").isNotNull() & test(k), F.lit(k)) for k in range(1, longest + 1)
+        ])
 
-    thresholds = sorted({t for pair in conf.races() for t in pair})
-    hits = {}
-    for th in thresholds:
+    out = {}
+    for th in sorted({t for pair in conf.races() for t in pair}):
         name = threshold_label(th)
-        hits[f"_up_{name}"] = first(lambda e, th=th: pct_move(e["h"], close) >= F.lit(th))
-        hits[f"_down_{name}"] = first(lambda e, th=th: pct_move(e["l"], close) <= F.lit(-th))
-    return out.withColumns(hits).drop("_slots")
+        out[f"_up_{name}"] = first(lambda k, th=th: pct_move(f"_h{k}", "close") >= F.lit(th))
+        out[f"_down_{name}"] = first(lambda k, th=th: pct_move(f"_l{k}", "close") <= F.lit(-th))
+    return out
+
+
+def add_first_hits(df: DataFrame, conf: OutcomeConfig, longest: int, axis: Axis = TICKER) -> DataFrame:
+    out = add_leads(df, longest, axis)
+    return out.withColumns(first_hit_columns(conf, longest)).drop(*lead_names(longest))
 
 
 def hit_within(col: str, horizon: int) -> Column:
@@ -64,22 +79,27 @@ def add_outcomes(
     horizons = tuple(conf.horizons if horizons is None else horizons)
     out = df if "is_new_20d_high" in df.columns else add_new_high(df, conf.new_high_lookback, axis)
     close, atr0 = F.col("close"), F.col(atr)
+    longest = max(horizons)
 
-    frames = {}
+    ahead = {}
+    for h in horizons:
+        seen_new = F.col("is_new_20d_high") & F.col("high").isNotNull()
+        ahead[f"_new_{h}"] = F.max(seen_new.cast("int")).over(axis.ahead(h))
+        ahead[f"_end_{h}"] = axis.lead("close", h)
+    out = add_leads(out.withColumns(ahead), longest, axis)
+    reach = first_hit_columns(conf, longest)
     for h in horizons:
-        f = axis.ahead(h)
-        seen = F.col("high").isNotNull()
-        frames[f"_n_{h}"] = F.count("high").over(f)
-        frames[f"_top_{h}"] = F.max("high").over(f)
-        frames[f"_bottom_{h}"] = F.min(F.when(seen, F.col("low"))).over(f)
-        frames[f"_new_{h}"] = F.max((F.col("is_new_20d_high") & seen).cast("int")).over(f)
-        frames[f"_end_{h}"] = axis.lead("close", h)
-    out = add_first_hits(out.withColumns(frames), conf, horizons, axis)
-
-    # Two layers, so that each extreme is computed once and reused by its flags.
+        highs, lows = ([F.col(f"_{c}{k}") for k in range(1, h + 1)] for c in ("h", "l"))
+        # A window is complete when all its highs are there.
+        reach[f"_full_{h}"] = reduce(lambda a, b: a & b, [x.isNotNull() for x in highs])
+        reach[f"_top_{h}"] = F.greatest(*highs) if h > 1 else highs[0]
+        reach[f"_bottom_{h}"] = F.least(*lows) if h > 1 else lows[0]
+    out = out.withColumns(reach).drop(*lead_names(longest))
+
+    # In layers, so that each extreme is computed once and reused by its flags.
     extremes = {}
     for h in horizons:
-        complete = F.col(f"_n_{h}") == h
+        complete = F.col(f"_full_{h}")
         extremes[f"forward_return_close_{h}d"] = pct_move(f"_end_{h}", close)
         extremes[f"mfe_pct_{h}d"] = F.when(complete, pct_move(f"_top_{h}", close))
         extremes[f"mae_pct_{h}d"] = F.when(complete, pct_move(f"_bottom_{h}", close))
@@ -89,7 +109,7 @@ def add_outcomes(
 
     flags = {}
     for h in horizons:
-        complete = F.col(f"_n_{h}") == h
+        complete = F.col(f"_full_{h}")
         for th in conf.pct_moves:
             flags[f"reached_plus_{threshold_label(th)}pct_{h}d"] = F.when(
                 complete, flag(F.col(f"mfe_pct_{h}d") >= F.lit(th))
@@ -105,7 +125,7 @@ def add_outcomes(
             flags[conf.race_name(up, down, h)] = first
             flags[conf.race_name(up, down, h, True)] = tie
     out = out.withColumns(flags)
-    return out.drop(*[c for c in out.columns if c.startswith(("_n_", "_top_", "_bottom_", "_new_", "_end_", "_up_", "_down_"))])
+    return out.drop(*[c for c in out.columns if c.startswith(("_full_", "_top_", "_bottom_", "_new_", "_end_", "_up_", "_down_"))])
 
 
 def outcome_columns(conf: OutcomeConfig = DEFAULT.outcomes) -> list[str]:

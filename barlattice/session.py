@@ -13,6 +13,9 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide projections would be fused into one method too long for the JIT; below this
+    # size limit Spark splits them into small compiled methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
