@@ -20,16 +20,16 @@ from pyspark.sql import types as T  # noqa: E402
 
 from barlattice import config as cfg  # noqa: E402
 from barlattice.config import DEFAULT, IndexConfig  # noqa: E402
-from barlattice.functions.scalar import held  # noqa: E402
-from barlattice.functions.windows import TICKER  # noqa: E402
 from barlattice.operators import breadth, classify, history, index_health, outcomes, quality, technical, universe  # noqa: E402
-from barlattice.operators.cells import METRIC_COLS, baseline_columns, small_cells  # noqa: E402
+from barlattice.operators.cells import small_cells  # noqa: E402
 from barlattice.plans import panel as P  # noqa: E402
 from barlattice.plans import studies as S  # noqa: E402
 from barlattice.plans.jobs import breadth_sanity, index_sanity  # noqa: E402
 from barlattice.schemas import FEATURE_COLUMNS, UNIVERSE_COLUMNS  # noqa: E402
 from barlattice.session import joined_by_entity, stage, tune  # noqa: E402
 from barlattice.sources import derived, landing  # noqa: E402
+from barlattice.sources.warehouse import Warehouse  # noqa: E402
+from barlattice.streaming.ingest import ingest_stream  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
 
 YEAR = 2000
@@ -56,11 +56,16 @@ class Frames:
             _shared[key] = build()
         return _shared[key]
 
+    def raw(self) -> DataFrame:
+        """The landed bars as traded: derived from the order lines once, then read as a table."""
+        return self._once("raw", lambda: stage(derived.weekly_bars(self.spark, self.sf), "raw"))
+
     def bars(self) -> DataFrame:
-        return derived.panel_bars(self.spark, self.sf)
+        """Adjusted bars with the close as traded beside them."""
+        return derived.scaled(self.raw().withColumn("close_unadjusted", F.col("close")))
 
-    def raw(self) -> DataFrame:
-        return derived.weekly_bars(self.spark, self.sf)
+    def unadjusted(self) -> DataFrame:
+        return self.raw().select("date", "ticker", F.col("close").alias("close_unadjusted"))
 
     def snapshots(self) -> DataFrame:
         return derived.reference_snapshots(self.spark, self.sf)
@@ -106,11 +111,14 @@ class Frames:
         return self._once("year", build)
 
     def members(self) -> DataFrame:
-        raw = self.raw()
-        members = derived.index_members(raw)
-        return index_health.checked_members(
-            raw.select("date").distinct(), members.select("index_id", "date").distinct(), members, INDEX
-        )
+        def build():
+            raw = self.raw()
+            members = derived.index_members(raw)
+            return stage(index_health.checked_members(
+                raw.select("date").distinct(), members.select("index_id", "date").distinct(), members, INDEX
+            ), "members")
+
+        return self._once("members", build)
 
     def index_structure(self) -> DataFrame:
         return index_health.price_structure(derived.index_series(self.raw()))
@@ -197,8 +205,8 @@ def q_asset_type(f):
 
 
 def q_unadjusted_join(f):
-    bars = derived.adjusted_bars(f.spark, f.sf).select(*KEY, "close")
-    return pick(universe.with_unadjusted_close(bars, derived.unadjusted_close(f.spark, f.sf)), *KEY, "close", "close_unadjusted")
+    bars = derived.scaled(f.raw()).select(*KEY, "close")
+    return pick(universe.with_unadjusted_close(bars, f.unadjusted()), *KEY, "close", "close_unadjusted")
 
 
 def q_market_cap(f):
@@ -209,7 +217,7 @@ def q_market_cap(f):
 
 def q_universe_daily(f):
     df = universe.market_universe(
-        derived.adjusted_bars(f.spark, f.sf), derived.unadjusted_close(f.spark, f.sf), f.snapshots(), f.shares()
+        derived.scaled(f.raw()), f.unadjusted(), f.snapshots(), f.shares()
     )
     return pick(df, *UNIVERSE_COLUMNS)
 
@@ -428,16 +436,21 @@ def _index_decile(column):
     return lambda f: rounded(index_sanity(f.health(), f.index_outcomes(), [column])[f"{column}_bucket"])
 
 
+def _tidy(bars):
+    """Bars with the column set of a landed day."""
+    return bars.select(
+        F.col("ticker").cast("string").alias("ticker"), "open", "high", "low", "close", "volume",
+        F.lit(None).cast("double").alias("vwap"), F.lit(None).cast("long").alias("transactions"),
+        F.lit(None).cast("long").alias("epoch_ms"), "date",
+    )
+
+
 def _landed(f):
     """Land the bars as day files in a fresh folder (all four sources), every seventh week left out."""
     def build():
         root = tempfile.mkdtemp(prefix="landing-", dir=_scratch(f.spark))
         bars = f.raw().filter(derived.week_number() % 7 != 3)
-        tidy = bars.select(
-            F.col("ticker").cast("string").alias("ticker"), "open", "high", "low", "close", "volume",
-            F.lit(None).cast("double").alias("vwap"), F.lit(None).cast("long").alias("transactions"),
-            F.lit(None).cast("long").alias("epoch_ms"), "date",
-        )
+        tidy = _tidy(bars)
         landing.ingest_days(tidy, root, "grouped_daily")
         landing.ingest_days(tidy.filter(derived.week_number() % 5 != 1), root, "grouped_daily_unadjusted")
         return f.spark.createDataFrame([(root,)], "root string")
@@ -483,8 +496,40 @@ def q_time_splits(f):
     )
 
 
+def q_study_join(f):
+    """Features inner-joined to outcomes on the key, eligible rows only, as the studies read them."""
+    rows = P.study_rows(f.features().select(*FEATURE_COLUMNS), P.outcomes_table(f.panel()))
+    return pick(rows, *KEY, "rs_percentile_3m", "atr_extension", "mfe_pct_20d", "reached_3atr_20d")
+
+
+def q_stored_year(f):
+    """Features written by year and read back for one year (year directories pruned)."""
+    w = Warehouse(f.spark, tempfile.mkdtemp(prefix="warehouse-", dir=_scratch(f.spark)))
+    w.write("stock_features_daily", f.features().select(*FEATURE_COLUMNS))
+    return pick(w.read("stock_features_daily", [YEAR]), *KEY, "eligible", "rs_percentile_6m", "sma50", "thrust_1m")
+
+
+def q_streamed_landing(f):
+    """Bars landed by the draining file stream, twice over the same input, then scanned."""
+    base = tempfile.mkdtemp(prefix="stream-", dir=_scratch(f.spark))
+    _tidy(f.raw()).write.parquet(f"{base}/in")
+    for _ in range(2):
+        ingest_stream(f.spark, f"{base}/in", f"{base}/out", "grouped_daily", f"{base}/checkpoint")
+    df = landing.scan_bars(f.spark, f"{base}/out").withColumn("ticker", F.col("ticker").cast("long"))
+    return pick(df, *KEY, "open", "high", "low", "close", "volume")
+
+
+def q_small_sample_counts(f):
+    return rounded(S.small_sample_rows(S.candidate_states(f.year())))
+
+
+def q_restricted_bars(f):
+    """Bars of tickers that are an index member at any time."""
+    return pick(index_health.restrict_to_members(f.bars(), f.members()), *KEY, "close")
+
+
 _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
-    "panel_bars": lambda f: pick(f.bars(), *KEY, "open", "high", "low", "close", "volume", "close_unadjusted"),
+    "panel_bars": lambda f: pick(derived.panel_bars(f.spark, f.sf), *KEY, "open", "high", "low", "close", "volume", "close_unadjusted"),
     "reference_snapshots": lambda f: f.snapshots(),
     "monthly_shares": lambda f: f.shares(),
     "returns": q_returns,
@@ -513,6 +558,8 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "first_hit_day": q_first_hit_day,
     "outcomes_daily": q_outcomes_daily,
     "outcomes_from_features": q_outcomes_from_features,
+    "study_join": q_study_join,
+    "stored_year": q_stored_year,
     "prior_extension": q_prior_extension,
     "candidate_state": q_candidate_state,
     "rs_breadth": q_rs_breadth,
@@ -537,6 +584,7 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "candidate_states_ema10": _table(_states, "candidate_states_by_rs_bucket_ema10"),
     "candidate_states_ema20": _table(_states, "candidate_states_by_rs_bucket_ema20"),
     "state_population": q_state_population,
+    "small_sample_counts": q_small_sample_counts,
     "push_distance_distribution": q_push_distribution,
     "push_distance_buckets": q_push_distance_buckets,
     "pullback_range_comparison": q_pullback_ranges,
@@ -544,6 +592,7 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "pullback_exclusions": q_pullback_exclusions,
     "index_members": q_index_members,
     "component_counts": q_component_counts,
+    "restricted_bars": q_restricted_bars,
     "member_panel": q_member_panel,
     "index_breadth": q_index_breadth,
     "oscillators": q_oscillators,
@@ -565,6 +614,7 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "sanity_pct_above_ema21": _index_decile("pct_above_ema21"),
     "sanity_high_low_pct": _index_decile("high_low_pct"),
     "landed_scan": q_landed_scan,
+    "streamed_landing": q_streamed_landing,
     "raw_manifest": q_raw_manifest,
     "candidate_weekdays": q_candidate_weekdays,
     "coverage_gaps": q_coverage_gaps,

@@ -63,6 +63,11 @@ def time_split(day="date", last_day: Column | None = None) -> Column:
     return out
 
 
+def in_calibration_window(day="date") -> Column:
+    """Rows from the first split on; earlier ones only warm up the windows."""
+    return c(day) >= F.lit(cfg.TIME_SPLITS[0][1])
+
+
 def refuse_later_years(df: DataFrame, year: int) -> None:
     """Raise when the input reaches beyond the target year (reads one column's maximum)."""
     latest = df.agg(F.max(F.year("date")).alias("y")).first()["y"]

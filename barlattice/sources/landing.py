@@ -76,6 +76,11 @@ def scan_members(spark: SparkSession, root: str, start=None, end=None, index_id:
     return df.select(F.lit(index_id).alias("index_id"), "date", "constituent_ticker", "weight")
 
 
+def scan_shares(spark: SparkSession, path: str) -> DataFrame:
+    """Shares outstanding as known on the first of each month: (ticker, bucket_month, shares)."""
+    return spark.read.schema("ticker string, bucket_month date, shares double").parquet(path)
+
+
 def landed_files(spark: SparkSession, root: str, source: str, start=None, end=None) -> DataFrame:
     """(date, path, length) of every file of a source, empty ones included; contents are not read."""
     path = source_path(root, source)

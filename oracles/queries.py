@@ -60,6 +60,9 @@ Q["first_hit_day"] = """SELECT a.date, a.ticker, up5 AS first_up_5, up10 AS firs
 FROM adj a LEFT JOIN hits h ON a.ticker = h.ticker AND a.rn = h.rn"""
 simple("outcomes_daily", "outcomes", ALL_OUTCOMES)
 simple("outcomes_from_features", "outcomes", outcome_names(10))
+simple("study_join", "rows", ("rs_percentile_3m", "atr_extension", "mfe_pct_20d", "reached_3atr_20d"))
+simple("stored_year", "features", ("rs_percentile_6m", "sma50", "thrust_1m"), f"{K}, eligible")
+Q["stored_year"] += " WHERE year(date) = 2000"
 simple("prior_extension", "history", [c for c in HISTORY if not c.startswith("n_valid")], f"{K}, n_valid_days_prior_peak_window")
 Q["candidate_state"] = f"""SELECT h.date, h.ticker, {state_case('10')} AS candidate_state_ema10, {state_case('20')} AS candidate_state_ema20
 FROM history h JOIN (SELECT ticker, rn, atr_extension, distance_ema10_pct, distance_ema20_pct FROM f7) f
@@ -84,10 +87,6 @@ ON c.rs_horizon = d.rs_horizon AND c.outcome_horizon = d.outcome_horizon AND c.b
     return "\nUNION ALL\n".join(parts)
 
 
-def values_from(name, labels):
-    return values(name, labels)
-
-
 COMMON = "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in RS)
 Q["rs_benchmark"] = benchmark("")
 Q["rs_benchmark_common"] = benchmark(COMMON)
@@ -179,6 +178,11 @@ Q["state_population"] = "\nUNION ALL\n".join(
     for e in ("10", "20") for s in ("Normal", "Extended", "Resetting", "unclassified_missing_current_extension")
 )
 
+Q["small_sample_counts"] = "\nUNION ALL\n".join(
+    f"SELECT 'small_sample_cells' AS metric, 'candidate_states_by_rs_bucket_ema{e}' AS key, "
+    f"{r('count(*)::DOUBLE', 'value')} FROM ({Q[f'candidate_states_ema{e}']}) WHERE n < 30" for e in ("10", "20")
+)
+
 # --- pullback: one row per (ema, rs horizon) a row is strong in
 STRONG = "\nUNION ALL\n".join(
     f"SELECT *, '{e}' AS ema, '{x}' AS rs_horizon, {x} AS rs, distance_ema{e}_pct AS dist FROM {{src}} "
@@ -252,6 +256,7 @@ Q["pullback_exclusions"] = metric_rows("yrows", [
 IK = "index_id, date"
 Q["index_members"] = f"SELECT {IK}, constituent_ticker, {rr('weight')} FROM members"
 Q["component_counts"] = f"SELECT {IK}, component_count FROM mb"
+Q["restricted_bars"] = f"SELECT {K}, {rr('close')} FROM adj WHERE ticker IN (SELECT constituent_ticker FROM members)"
 Q["member_panel"] = f"""SELECT {K}, {rr('sma5', 'ema10', 'sma20', 'ema21', 'sma50', 'sma200')}, nh AS is_new_20d_high,
 nl AS is_new_20d_low, adv AS is_advancer, dec AS is_decliner FROM mpanel"""
 PA = [f"pct_above_{m}" for m in MAS]
@@ -335,6 +340,7 @@ for c in ("mco_z", "mcsi_z", "pct_above_ema21", "high_low_pct"):
 WK = "datediff('day', DATE '1995-01-02', date) // 7"
 simple("landed_scan", "bars", ("open", "high", "low", "close", "volume"))
 Q["landed_scan"] += f" WHERE ({WK}) % 7 <> 3"
+simple("streamed_landing", "bars", ("open", "high", "low", "close", "volume"))
 MANIFEST = f"""SELECT 'grouped_daily' AS source, date, count(*) AS row_count FROM bars WHERE ({WK}) % 7 <> 3 GROUP BY date
 UNION ALL SELECT 'grouped_daily_unadjusted' AS source, date, count(*) AS row_count FROM bars
 WHERE ({WK}) % 7 <> 3 AND ({WK}) % 5 <> 1 GROUP BY date"""
