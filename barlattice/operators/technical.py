@@ -127,13 +127,13 @@ def add_new_low(df: DataFrame, lookback: int = 20, axis: Axis = TICKER, out: str
     return df.withColumn(out, held(F.col("low") < prior))
 
 
-def add_ticker_features(bars: DataFrame, axis: Axis = TICKER) -> DataFrame:
+def add_ticker_features(bars: DataFrame, axis: Axis = TICKER, co_located: bool = False) -> DataFrame:
     """Every per-ticker feature of the panel in one pass over rows laid out by ticker.
 
     The bars are moved once; returns, ranges, averages and runs are windows on that
     layout, and all EMAs (of close and of daily return) are one Arrow pass over it.
     """
-    df = bars.repartition(axis.key)
+    df = bars if co_located else bars.repartition(axis.key)
     df = add_returns(df, axis)
     df = add_atr(df, axis).drop("true_range")
     df = add_adr(df, axis)

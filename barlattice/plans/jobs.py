@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..operators import breadth, index_health, quality
-from ..operators.classify import check_lookback, check_single_year
+from ..operators.classify import check_lookback, check_single_year, eligible_only
 from ..operators.outcomes import stock_outcomes
 from ..operators.universe import market_universe
-from ..session import stage
+from ..session import joined_by_entity, stage
 from ..sources import landing
 from ..sources.warehouse import Warehouse
 from . import studies
@@ -68,7 +68,8 @@ class Engine:
         bars = landing.scan_bars(self.spark, self.landed, start, end)
         if universe.isEmpty() or bars.isEmpty():
             raise RuntimeError("features need landed bars and a built universe table")
-        panel = stage(build_features(bars, universe), "features")
+        with joined_by_entity(self.spark):
+            panel = stage(build_features(bars, universe), "features")
         return self._store("stock_features_daily", features_table(panel), start, end, "grouped_daily+universe")
 
     # B5
@@ -78,9 +79,11 @@ class Engine:
 
     # B6
     def market_breadth(self, start: date, end: date) -> DataFrame:
-        rows = self._table("stock_features_daily").join(
-            self._table("stock_outcomes_daily"), ["date", "ticker"], "left"
+        # Breadth looks at eligible rows only; a row without outcomes stays in its cohort.
+        eligible = eligible_only(self._table("stock_features_daily")).select(
+            "date", "ticker", "eligible", self.conf.breadth.rs_column
         )
+        rows = eligible.join(self._table("stock_outcomes_daily"), ["date", "ticker"], "left")
         df = breadth.market_breadth(stage(rows, "breadth"), self.conf.breadth)
         return self._store("market_breadth_daily", df, start, end, "stock_features_daily+stock_outcomes_daily")
 

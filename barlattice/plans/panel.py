@@ -9,7 +9,7 @@ from .. import config as cfg
 from ..config import DEFAULT, EngineConfig
 from ..functions.windows import TICKER, Axis
 from ..operators.classify import eligible_only, refuse_later_years
-from ..operators.history import add_prior_extension_history
+from ..operators.history import HISTORY_COLUMNS, add_prior_extension_history
 from ..operators.outcomes import add_outcomes, outcome_columns
 from ..operators.ranks import rank_percentiles
 from ..operators.technical import (
@@ -68,12 +68,14 @@ def build_panel(
 def build_features(bars: DataFrame, universe: DataFrame, axis: Axis = TICKER) -> DataFrame:
     """Features from bars and a stored universe table; ranks still missing.
 
-    A row without a universe entry is not eligible.
+    A row without a universe entry is not eligible. The universe is merged on the ticker
+    layout before the windows, so stage this under `joined_by_entity`.
     """
     require_columns(universe, ["date", "ticker", "eligible", "market_cap", "adr20"], "market_universe_daily")
-    df = add_ticker_features(bars, axis).drop("adr20")
-    keep = universe.select("date", "ticker", "eligible", "market_cap", "adr20")
-    return df.join(keep, ["ticker", "date"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    keep = universe.select("date", "ticker", "eligible", "market_cap", F.col("adr20").alias("_adr"))
+    df = bars.repartition(axis.key).join(keep.hint("merge"), [axis.key, axis.time], "left")
+    df = df.withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    return add_ticker_features(df, axis, co_located=True).withColumn("adr20", F.col("_adr")).drop("_adr")
 
 
 def panel_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
@@ -116,12 +118,9 @@ def year_rows(features: DataFrame, outcomes: DataFrame, year: int) -> DataFrame:
         "stock_features_daily",
     )
     refuse_later_years(features, year)
-    return study_rows_of_year(add_prior_extension_history(features), outcomes, year)
-
-
-def study_rows_of_year(with_history: DataFrame, outcomes: DataFrame, year: int) -> DataFrame:
-    picked = with_history.filter(F.year("date") == year)
-    return eligible_only(picked).join(
-        outcomes.select(*[c for c in outcomes.columns if c in ("date", "ticker") or c not in picked.columns]),
-        ["date", "ticker"],
-    )
+    # Only what the history needs travels through its windows; the wide rows of the one
+    # year's eligible tickers are joined afterwards.
+    slim = features.select("date", "ticker", "eligible", "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
+    past = eligible_only(add_prior_extension_history(slim).filter(F.year("date") == year))
+    rows = study_rows(features.filter(F.year("date") == year), outcomes)
+    return rows.join(past.select("date", "ticker", *HISTORY_COLUMNS), ["date", "ticker"])

@@ -110,7 +110,7 @@ def index_members(bars: DataFrame) -> DataFrame:
     """Half of the bars' tickers, swapped every 26 weeks, equally weighted."""
     picked = bars.filter((F.col("ticker") + F.expr(f"(datediff(date, date'{FIRST_WEEK}') div 7) div 26")) % 2 == 0)
     sizes = picked.groupBy("date").agg(F.count(F.lit(1)).alias("k"))
-    return picked.select("date", F.col("ticker").alias("constituent_ticker")).join(sizes, "date").select(
+    return picked.select("date", F.col("ticker").alias("constituent_ticker")).join(F.broadcast(sizes), "date").select(  # one row per date
         F.lit(INDEX_ID).alias("index_id"), "date", "constituent_ticker", (F.lit(1.0) / F.col("k")).alias("weight")
     )
 

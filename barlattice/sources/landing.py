@@ -42,6 +42,12 @@ def _between(df: DataFrame, start, end) -> DataFrame:
     return df
 
 
+def _missing_as_null(df: DataFrame) -> DataFrame:
+    """NaN doubles become NULL here, once, so that no later comparison meets a NaN."""
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return df.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in doubles}) if doubles else df
+
+
 def _with_date(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("date", T.DateType())])
 
@@ -52,7 +58,7 @@ def scan_landed(spark: SparkSession, root: str, source: str, start=None, end=Non
     path = source_path(root, source)
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _between(spark.read.schema(schema).parquet(path), start, end)
+    return _missing_as_null(_between(spark.read.schema(schema).parquet(path), start, end))
 
 
 def scan_bars(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
@@ -206,7 +212,7 @@ def scan_foreign(spark: SparkSession, root: str, source: str, start=None, end=No
         return spark.createDataFrame([], _with_date(LANDED[source]))
     df = spark.read.schema(schema).parquet(*good).withColumn("date", _date_of(F.col("_metadata.file_name")))
     names = {c: VENDOR_RENAMES.get(c, c) for c in schema.fieldNames()} if schema is not LANDED[source] else {}
-    return df.select(*[F.col(c).alias(names.get(c, c)) for c in schema.fieldNames()], "date")
+    return _missing_as_null(df.select(*[F.col(c).alias(names.get(c, c)) for c in schema.fieldNames()], "date"))
 
 
 def ingest_foreign(

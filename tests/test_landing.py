@@ -29,6 +29,12 @@ def test_manifest_tells_empty_from_missing(spark, tmp_path):
     assert landing.scan_members(spark, root).count() == 0
 
 
+def test_nan_is_missing_after_the_scan(spark, tmp_path):
+    landing.write_days(bars(spark, D[:1], close=float("nan")), str(tmp_path), "grouped_daily")
+    row = landing.scan_bars(spark, str(tmp_path)).first()
+    assert row["close"] is None and row["volume"] == 1.0
+
+
 def test_date_filter_prunes_directories(spark, tmp_path):
     root = str(tmp_path)
     landing.write_days(bars(spark, D), root, "grouped_daily")
