@@ -42,6 +42,14 @@ class Axis:
     def lead(self, x, n: int = 1) -> Column:
         return F.lead(c(x), n).over(self.rows())
 
+    def offset(self, column: str, n: int) -> Column:
+        """The column n rows ahead (behind when negative), written as one SQL expression.
+
+        Same as lead / lag; meant for the many offsets of a frame, where a call per
+        sub-expression would make building the plan slower than running it on small data.
+        """
+        return F.expr(f"lead(`{column}`, {n}) OVER (PARTITION BY `{self.key}` ORDER BY `{self.time}`)")
+
 
 TICKER = Axis()
 INDEX = Axis(key="index_id")

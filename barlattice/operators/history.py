@@ -31,7 +31,7 @@ def add_prior_extension_history(
         "n_valid_days_prior_peak_window": F.count(ext).over(axis.past(w)),
         "_best": best,
         # The last `w` rows' distances as plain columns (bounded), see `outcomes.add_leads`.
-        **{f"_d{e}_{k}": axis.lag(f"distance_ema{e}_pct", k) for e in (10, 20) for k in range(1, w)},
+        **{f"_d{e}_{k}": axis.offset(f"distance_ema{e}_pct", -k) for e in (10, 20) for k in range(1, w)},
     })
     out = out.withColumns({
         "atr_extension_peak": F.col("_best.v"),
@@ -40,8 +40,8 @@ def add_prior_extension_history(
 
     def since(e: int):
         """Smallest distance over the rows after the peak, the current one included."""
-        terms = [F.col(f"distance_ema{e}_pct")] + [F.col(f"_d{e}_{k}") for k in range(1, w)]
-        return F.least(*[F.when(F.col("_ago") > k, t) for k, t in enumerate(terms)])
+        terms = [f"distance_ema{e}_pct"] + [f"_d{e}_{k}" for k in range(1, w)]
+        return F.expr(f"least({', '.join(f'CASE WHEN _ago > {k} THEN {t} END' for k, t in enumerate(terms))})")
 
     out = out.withColumns({
         "days_since_atr_extension_peak": F.col("_ago").cast("double"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def add_leads(df: DataFrame, longest: int, axis: Axis = TICKER) -> DataFrame:
     branch-only arithmetic on the row, which compiles, unlike lambdas over an array.
     """
     return df.withColumns({
-        f"_{c[0]}{k}": axis.lead(c, k) for c in ("high", "low") for k in range(1, longest + 1)
+        f"_{c[0]}{k}": axis.offset(c, k) for c in ("high", "low") for k in range(1, longest + 1)
     })
 
 
@@ -34,16 +32,19 @@ def first_hit_columns(conf: OutcomeConfig, longest: int) -> dict[str, Column]:
 
     Found once for the longest horizon; a shorter one only compares the row with its length.
     """
-    def first(test) -> Column:
-        return F.coalesce(*[
-            F.when(F.col(f"_h{k}").isNotNull() & test(k), F.lit(k)) for k in range(1, longest + 1)
-        ])
+    def first(side: str, test: str) -> Column:
+        # (price / close - 1) * 100 in exactly this order, as everywhere else.
+        whens = [
+            f"WHEN _h{k} IS NOT NULL AND (try_divide(_{side}{k}, close) - 1.0D) * 100.0D {test} THEN {k}"
+            for k in range(1, longest + 1)
+        ]
+        return F.expr(f"CASE {' '.join(whens)} END")
 
     out = {}
     for th in sorted({t for pair in conf.races() for t in pair}):
         name = threshold_label(th)
-        out[f"_up_{name}"] = first(lambda k, th=th: pct_move(f"_h{k}", "close") >= F.lit(th))
-        out[f"_down_{name}"] = first(lambda k, th=th: pct_move(f"_l{k}", "close") <= F.lit(-th))
+        out[f"_up_{name}"] = first("h", f">= {float(th)!r}D")
+        out[f"_down_{name}"] = first("l", f"<= {-float(th)!r}D")
     return out
 
 
@@ -89,11 +90,11 @@ def add_outcomes(
     out = add_leads(out.withColumns(ahead), longest, axis)
     reach = first_hit_columns(conf, longest)
     for h in horizons:
-        highs, lows = ([F.col(f"_{c}{k}") for k in range(1, h + 1)] for c in ("h", "l"))
+        highs, lows = ([f"_{c}{k}" for k in range(1, h + 1)] for c in ("h", "l"))
         # A window is complete when all its highs are there.
-        reach[f"_full_{h}"] = reduce(lambda a, b: a & b, [x.isNotNull() for x in highs])
-        reach[f"_top_{h}"] = F.greatest(*highs) if h > 1 else highs[0]
-        reach[f"_bottom_{h}"] = F.least(*lows) if h > 1 else lows[0]
+        reach[f"_full_{h}"] = F.expr(" AND ".join(f"{x} IS NOT NULL" for x in highs))
+        reach[f"_top_{h}"] = F.expr(f"greatest({', '.join(highs)})" if h > 1 else highs[0])
+        reach[f"_bottom_{h}"] = F.expr(f"least({', '.join(lows)})" if h > 1 else lows[0])
     out = out.withColumns(reach).drop(*lead_names(longest))
 
     # In layers, so that each extreme is computed once and reused by its flags.
