@@ -17,7 +17,7 @@ def ingest_stream(
 
     The files carry their date as a column or a `date=` directory. A day landed before is
     left alone unless `force`, which replaces it. A batch that is replayed after a failure
-    rewrites the same day directories, so the result is the same.
+    lands the days it had not landed yet (with `force`: writes the same days again).
     """
     schema = T.StructType(list(LANDED[source].fields) + [T.StructField("date", T.DateType())])
 

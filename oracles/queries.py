@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .sql import (
     ALL_OUTCOMES, CHG_COLS, COHORT, CROSS, DECILES, DFINE, DIST, EXT, FINE, FUTURE, H, HISTORY, HV, IX_FLAG, IX_NUM,
-    IXO, MAS, MB_INT, MB_NUM, METRICS, MROUND, MSQL, PREV, RETURNS, RS, STATE_RS, THRUST, baseline, bucket,
+    IXO, MAS, MB_INT, MB_NUM, MROUND, MSQL, PREV, RETURNS, RS, STATE_RS, THRUST, baseline, bucket,
     outcome_names, query, r, rr, state_case, values,
 )
 
