@@ -32,6 +32,14 @@ from barlattice.sources.warehouse import Warehouse  # noqa: E402
 from barlattice.streaming.ingest import ingest_stream  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
 
+try:  # the corpus operators are an optional subpackage; this is the only place that does without it
+    import corpus_pipeline
+    from barlattice.llm import registry as corpus_registry
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "barlattice.llm"):
+        raise
+    corpus_pipeline = corpus_registry = None
+
 YEAR = 2000
 # Memberships of the derived index are small at tiny scale; the real minimum is the default.
 INDEX = IndexConfig(min_components=2)
@@ -628,10 +636,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        name: (lambda spark, sf_dir, fn=fn: fn(Frames(spark, sf_dir))) for name, fn in _QUERIES.items()
-    }
+    out = {name: (lambda spark, sf_dir, fn=fn: fn(Frames(spark, sf_dir))) for name, fn in _QUERIES.items()}
+    if corpus_registry is not None:
+        out.update(corpus_registry.QUERIES, pipeline=corpus_pipeline.run)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    out = dict(ORACLES)
+    if corpus_registry is not None:
+        out.update(corpus_registry.ORACLES)
+        if corpus_pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
