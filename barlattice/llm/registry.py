@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from barlattice.llm import exact_dedup, mixing
+from barlattice.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
+    "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
