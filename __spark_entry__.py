@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,8 +26,8 @@ from barlattice.operators.cells import small_cells  # noqa: E402
 from barlattice.plans import panel as P  # noqa: E402
 from barlattice.plans import studies as S  # noqa: E402
 from barlattice.plans.jobs import breadth_sanity, index_sanity  # noqa: E402
-from barlattice.schemas import FEATURE_COLUMNS, UNIVERSE_COLUMNS  # noqa: E402
-from barlattice.session import joined_by_entity, stage, tune  # noqa: E402
+from barlattice.schemas import FEATURE_COLUMNS, LANDED_REFERENCE, UNIVERSE_COLUMNS, conform  # noqa: E402
+from barlattice.session import drop_staged, joined_by_entity, stage, stage_root, tune  # noqa: E402
 from barlattice.sources import derived, landing  # noqa: E402
 from barlattice.sources.warehouse import Warehouse  # noqa: E402
 from barlattice.streaming.ingest import ingest_stream  # noqa: E402
@@ -48,7 +49,9 @@ _shared: dict[tuple, DataFrame] = {}
 
 
 def forget() -> None:
-    """Drop the shared staged tables, so that the next query starts from the raw tables."""
+    """Drop the shared staged tables, files included, so that the next query starts from the raw tables."""
+    for df in _shared.values():
+        drop_staged(df)
     _shared.clear()
 
 
@@ -81,30 +84,45 @@ class Frames:
     def shares(self) -> DataFrame:
         return derived.monthly_shares(self.spark, self.sf)
 
+    def _panel(self, outcomes: bool) -> DataFrame:
+        with joined_by_entity(self.spark):
+            return stage(P.build_panel(self.bars(), self.snapshots(), self.shares(), outcomes=outcomes), "panel")
+
     def panel(self) -> DataFrame:
         """All rows: gates, features without ranks, outcomes."""
+        return self._once("panel", lambda: self._panel(True))
+
+    def slim(self) -> DataFrame:
+        """The panel without outcomes, for queries that don't look ahead."""
+        if (self.spark.sparkContext.applicationId, self.sf, "panel") in _shared:
+            return self.panel()
+        return self._once("slim", lambda: self._panel(False))
+
+    def universe(self) -> DataFrame:
+        """Gates only."""
         def build():
             with joined_by_entity(self.spark):
-                return stage(P.build_panel(self.bars(), self.snapshots(), self.shares()), "panel")
+                return stage(P.build_universe(self.bars(), self.snapshots(), self.shares()), "universe")
 
-        return self._once("panel", build)
+        return self._once("universe", build)
+
+    def outcomes(self) -> DataFrame:
+        return self._once("outcomes", lambda: stage(P.build_outcomes(self.bars()), "outcomes"))
 
     def rows(self) -> DataFrame:
         """Eligible rows with ranks and outcomes."""
         def build():
             p = self.panel()
-            return stage(classify.eligible_only(p).join(P.panel_ranks(p), ["date", "ticker"]), "rows")
+            return stage(P.with_ranks(classify.eligible_only(p)), "rows")
 
         return self._once("rows", build)
 
     def features(self) -> DataFrame:
         """All rows with ranks."""
-        p = self.panel()
-        names = list(P.RANK_SOURCES)
-        return p.join(self.rows().select("date", "ticker", *names), ["date", "ticker"], "left")
+        return P.with_ranks(self.slim())
 
     def with_history(self) -> DataFrame:
-        slim = self.panel().select("date", "ticker", "eligible", "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
+        slim = self.slim().select("date", "ticker", "eligible", "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
         return history.add_prior_extension_history(slim)
 
     def year(self) -> DataFrame:
@@ -224,9 +242,12 @@ def q_market_cap(f):
 
 
 def q_universe_daily(f):
-    df = universe.market_universe(
-        derived.scaled(f.raw()), f.unadjusted(), f.snapshots(), f.shares()
-    )
+    return pick(f.universe(), *UNIVERSE_COLUMNS)
+
+
+def q_universe_from_two_scans(f):
+    """The same table as the job builds it, adjusted bars joined to unadjusted closes."""
+    df = universe.market_universe(derived.scaled(f.raw()), f.unadjusted(), f.snapshots(), f.shares())
     return pick(df, *UNIVERSE_COLUMNS)
 
 
@@ -267,7 +288,7 @@ def q_first_hit_day(f):
 
 
 def q_outcomes_daily(f):
-    return pick(P.outcomes_table(f.panel()), *KEY, *outcomes.outcome_columns())
+    return pick(f.outcomes(), *KEY, *outcomes.outcome_columns())
 
 
 def q_outcomes_from_features(f):
@@ -417,15 +438,15 @@ def q_index_outcomes(f):
 
 
 def q_universe_quality(f):
-    return rounded(quality.universe_quality(f.panel().select(*UNIVERSE_COLUMNS)))
+    return rounded(quality.universe_quality(f.universe()))
 
 
 def q_cap_sensitivity(f):
-    return rounded(quality.cap_sensitivity(f.panel().select(*UNIVERSE_COLUMNS)))
+    return rounded(quality.cap_sensitivity(f.universe()))
 
 
 def q_tie_diagnostics(f):
-    return rounded(quality.tie_diagnostics(P.outcomes_table(f.panel())))
+    return rounded(quality.tie_diagnostics(f.outcomes()))
 
 
 def q_index_status(f):
@@ -453,26 +474,42 @@ def _tidy(bars):
     )
 
 
+def _fresh(f, name: str) -> str:
+    """A new folder's path below the shared stage folder; whoever writes there creates it."""
+    return f"{stage_root(f.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+EMPTY_DAY = date(1990, 1, 2)
+
+
 def _landed(f):
-    """Land the bars as day files in a fresh folder (all four sources), every seventh week left out."""
+    """All four sources landed as day files: every bar, every member and listing, and one day that has no rows."""
     def build():
-        root = tempfile.mkdtemp(prefix="landing-", dir=_scratch(f.spark))
-        bars = f.raw().filter(derived.week_number() % 7 != 3)
-        tidy = _tidy(bars)
+        root = _fresh(f, "landing")
+        tidy = _tidy(f.raw())
         landing.ingest_days(tidy, root, "grouped_daily")
-        landing.ingest_days(tidy.filter(derived.week_number() % 5 != 1), root, "grouped_daily_unadjusted")
+        landing.ingest_days(tidy, root, "grouped_daily_unadjusted")
+        members = derived.index_members(f.raw())
+        landing.ingest_days(
+            members.select(F.col("constituent_ticker").cast("string").alias("constituent_ticker"), "weight", "date"), root, "qqq_constituents")
+        listed = f.snapshots().withColumn("ticker", F.col("ticker").cast("string"))
+        landing.ingest_days(conform(listed, [*LANDED_REFERENCE.fieldNames(), "date"]), root, "reference_tickers")
+        landing.write_empty_day(f.spark, root, "grouped_daily", EMPTY_DAY)
         return f.spark.createDataFrame([(root,)], "root string")
 
     return f._once("landing", build).first()["root"]
 
 
-def _scratch(spark):
-    from barlattice.session import stage_root
+def _landed_with_gaps(f):
+    """Bars with every seventh week left out (unadjusted: every fifth too), for the coverage query only."""
+    def build():
+        root = _fresh(f, "gaps")
+        tidy = _tidy(f.raw().filter(derived.week_number() % 7 != 3))
+        landing.ingest_days(tidy, root, "grouped_daily")
+        landing.ingest_days(tidy.filter(derived.week_number() % 5 != 1), root, "grouped_daily_unadjusted")
+        return f.spark.createDataFrame([(root,)], "root string")
 
-    root = stage_root(spark)
-    if "://" not in root:
-        os.makedirs(root, exist_ok=True)
-    return root
+    return f._once("gaps", build).first()["root"]
 
 
 def q_raw_manifest(f):
@@ -486,7 +523,60 @@ def q_landed_scan(f):
 
 def q_coverage_gaps(f):
     lo, hi = f.raw().agg(F.min("date"), F.max("date")).first()
-    return landing.coverage_gaps(landing.candidate_weekdays(f.spark, lo, hi), landing.raw_manifest(f.spark, _landed(f)))
+    return landing.coverage_gaps(landing.candidate_weekdays(f.spark, lo, hi), landing.raw_manifest(f.spark, _landed_with_gaps(f)))
+
+
+SCAN_FROM, SCAN_TO = date(1996, 1, 1), date(1996, 12, 31)
+
+
+def q_bounded_scan(f):
+    """Bars of one year, by the scan's own bounds."""
+    df = landing.scan_bars(f.spark, _landed(f), SCAN_FROM, SCAN_TO).withColumn("ticker", F.col("ticker").cast("long"))
+    return pick(df, *KEY, "open", "high", "low", "close", "volume")
+
+
+def q_reference_scan(f):
+    df = landing.scan_reference(f.spark, _landed(f), SCAN_FROM, SCAN_TO)
+    return df.select("date", F.col("ticker").cast("long").alias("ticker"), "type", "primary_exchange")
+
+
+def q_member_scan(f):
+    df = landing.scan_members(f.spark, _landed(f), SCAN_FROM, SCAN_TO, derived.INDEX_ID)
+    return rounded(df.withColumn("constituent_ticker", F.col("constituent_ticker").cast("long")))
+
+
+def q_shares_scan(f):
+    path = _fresh(f, "shares")
+    f.shares().withColumn("ticker", F.col("ticker").cast("string")).write.parquet(path)
+    return rounded(landing.scan_shares(f.spark, path).withColumn("ticker", F.col("ticker").cast("long")))
+
+
+def q_lineage_round_trip(f):
+    """Lineage of a stored table: the range of the rows it was built from, read back (build time left out)."""
+    w = Warehouse(f.spark, _fresh(f, "warehouse"))
+    first, last = f.raw().agg(F.min("date"), F.max("date")).first()
+    w.write_lineage("market_breadth_daily", first, last, "bars", "abc")
+    w.write_lineage("qqq_health_daily", first, last, "members", "abc", error="no members")
+    both = w.read_lineage("market_breadth_daily").unionByName(w.read_lineage("qqq_health_daily"))
+    return both.select("table", "status", "data_start", "data_end", "source", "code_commit_hash", "error")
+
+
+def q_report_round_trip(f):
+    """A report's table written as Parquet and CSV, read back from the CSV."""
+    w = Warehouse(f.spark, _fresh(f, "warehouse"))
+    counts = f.raw().groupBy("ticker").agg(F.count(F.lit(1)).alias("bars"))
+    w.write_report("bars", {"per_ticker": counts}, f.spark.range(1))
+    return f.spark.read.option("header", True).schema("ticker long, bars long").csv(f"{w.root}/reports/bars/csv/per_ticker")
+
+
+def q_ranks_with_gaps(f):
+    """Ranks where closes are missing: rows whose every rank source is NULL keep their place."""
+    slim = f.slim().select(*KEY, "eligible", *dict.fromkeys(P.RANK_SOURCES.values()))
+    gap = F.col("ticker") % 5 == 2
+    holes = slim.withColumns({c: F.when(~gap, F.col(c)) for c in dict.fromkeys(P.RANK_SOURCES.values())})
+    rows = P.with_ranks(stage(classify.eligible_only(holes), "holes"))
+    return rows.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("return_21d").alias("n_known"), F.count("rs_percentile_1m").alias("n_ranked"))
 
 
 def q_candidate_weekdays(f):
@@ -512,17 +602,18 @@ def q_study_join(f):
 
 def q_stored_year(f):
     """Features written by year and read back for one year (year directories pruned)."""
-    w = Warehouse(f.spark, tempfile.mkdtemp(prefix="warehouse-", dir=_scratch(f.spark)))
+    w = Warehouse(f.spark, _fresh(f, "warehouse"))
     w.write("stock_features_daily", f.features().select(*FEATURE_COLUMNS))
     return pick(w.read("stock_features_daily", [YEAR]), *KEY, "eligible", "rs_percentile_6m", "sma50", "thrust_1m")
 
 
 def q_streamed_landing(f):
-    """Bars landed by the draining file stream, twice over the same input, then scanned."""
-    base = tempfile.mkdtemp(prefix="stream-", dir=_scratch(f.spark))
-    _tidy(f.raw()).write.parquet(f"{base}/in")
+    """Bars landed by the draining file stream, each day's rows in two files and one file a trigger, then run again."""
+    base = _fresh(f, "stream")
+    half = F.col("ticker").cast("long") % 2
+    _tidy(f.raw()).withColumn("half", half).repartition(2, "half").drop("half").write.parquet(f"{base}/in")
     for _ in range(2):
-        ingest_stream(f.spark, f"{base}/in", f"{base}/out", "grouped_daily", f"{base}/checkpoint")
+        ingest_stream(f.spark, f"{base}/in", f"{base}/out", "grouped_daily", f"{base}/checkpoint", files_per_trigger=1)
     df = landing.scan_bars(f.spark, f"{base}/out").withColumn("ticker", F.col("ticker").cast("long"))
     return pick(df, *KEY, "open", "high", "low", "close", "volume")
 
@@ -552,6 +643,7 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "unadjusted_join": q_unadjusted_join,
     "market_cap": q_market_cap,
     "universe_daily": q_universe_daily,
+    "universe_from_two_scans": q_universe_from_two_scans,
     "rs_percentile": q_rs_percentile,
     "thrust_percentile": q_thrust_percentile,
     "features_daily": q_features_daily,
@@ -622,6 +714,13 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "sanity_pct_above_ema21": _index_decile("pct_above_ema21"),
     "sanity_high_low_pct": _index_decile("high_low_pct"),
     "landed_scan": q_landed_scan,
+    "bounded_scan": q_bounded_scan,
+    "reference_scan": q_reference_scan,
+    "member_scan": q_member_scan,
+    "shares_scan": q_shares_scan,
+    "lineage_round_trip": q_lineage_round_trip,
+    "report_round_trip": q_report_round_trip,
+    "ranks_with_gaps": q_ranks_with_gaps,
     "streamed_landing": q_streamed_landing,
     "raw_manifest": q_raw_manifest,
     "candidate_weekdays": q_candidate_weekdays,

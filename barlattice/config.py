@@ -49,7 +49,7 @@ EXCLUDED_TYPES = (
 )
 
 TIME_SPLITS = (
-    ("calibration", date(2023, 1, 1), date(2024, 12, 31)),
+    ("fitting", date(2023, 1, 1), date(2024, 12, 31)),
     ("validation", date(2025, 1, 1), date(2025, 12, 31)),
     ("out_of_sample", date(2026, 1, 1), None),
 )

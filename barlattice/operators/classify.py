@@ -63,7 +63,7 @@ def time_split(day="date", last_day: Column | None = None) -> Column:
     return out
 
 
-def in_calibration_window(day="date") -> Column:
+def in_fitting_window(day="date") -> Column:
     """Rows from the first split on; earlier ones only warm up the windows."""
     return c(day) >= F.lit(cfg.TIME_SPLITS[0][1])
 

@@ -46,9 +46,9 @@ def universe_quality(universe: DataFrame, conf: UniverseConfig = DEFAULT.univers
     per_year = universe.groupBy(F.year("date").alias("y"), "ticker").agg(F.lit(1).alias("_")).groupBy("y").agg(
         F.count(F.lit(1)).alias("tickers")
     )
-    odd = universe.filter(F.col("close") > conf.implausible_close).agg(
-        F.countDistinct("ticker").alias("implausible_price_ticker_count")
-    )
+    odd_tickers = universe.filter(F.col("close") > conf.implausible_close).select("ticker").distinct()
+    odd = odd_tickers.agg(F.count(F.lit(1)).alias("implausible_price_ticker_count"))
+    examples = odd_tickers.orderBy("ticker").limit(10).withColumn("one", F.lit(1))
     names = [
         "trading_days", "median_eligible_universe_size", "missing_market_cap_pct", "missing_ohlc_pct",
         "implausible_price_row_count", "warning_small_universe",
@@ -57,6 +57,7 @@ def universe_quality(universe: DataFrame, conf: UniverseConfig = DEFAULT.univers
         as_rows(days, {n: n for n in names})
         .unionByName(as_rows(per_year, {"tickers_per_year": "tickers"}, "y"))
         .unionByName(as_rows(odd, {"implausible_price_ticker_count": "implausible_price_ticker_count"}))
+        .unionByName(as_rows(examples, {"implausible_price_ticker_example": "one"}, "ticker"))
     )
 
 
@@ -122,24 +123,31 @@ def tie_diagnostics(outcomes: DataFrame, conf: OutcomeConfig = DEFAULT.outcomes)
     )
 
 
-def index_status(counts: DataFrame, breadth: DataFrame, min_expected: int = 90) -> DataFrame:
-    """Component-count range with its warning, breadth rows and the median future shares.
-
-    Both inputs have one row per date, so plain medians are safe.
-    """
+def component_status(counts: DataFrame, min_expected: int = 90) -> DataFrame:
+    """Component-count range with its warning, from one row per date."""
     comp = counts.agg(
         F.median("component_count").alias("qqq_component_count_median"),
         F.min("component_count").alias("qqq_component_count_min"),
         F.max("component_count").alias("qqq_component_count_max"),
         (F.min("component_count") < min_expected).cast("int").alias("warning_few_components"),
     )
+    return as_rows(comp, {c: c for c in comp.columns})
+
+
+def breadth_status(breadth: DataFrame) -> DataFrame:
+    """Market-breadth rows and the median future shares, from one row per date."""
     shares = [c for c in ("future_rs80plus_share_20d", "future_rs90plus_share_20d", "future_rs95plus_share_20d")
               if c in breadth.columns]
     market = breadth.agg(
         F.count(F.lit(1)).alias("market_breadth_rows"),
         *[F.median(c).alias(f"market_breadth_{c}_median") for c in shares],
     )
-    return as_rows(comp, {c: c for c in comp.columns}).unionByName(as_rows(market, {c: c for c in market.columns}))
+    return as_rows(market, {c: c for c in market.columns})
+
+
+def index_status(counts: DataFrame, breadth: DataFrame, min_expected: int = 90) -> DataFrame:
+    """Component counts and market breadth together."""
+    return component_status(counts, min_expected).unionByName(breadth_status(breadth))
 
 
 def quantile_buckets(

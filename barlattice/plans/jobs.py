@@ -124,10 +124,12 @@ class Engine:
             metrics = metrics.unionByName(quality.as_rows(df.agg(F.count(F.lit(1)).alias("k")), {name: "k"}))
         market = self.warehouse.read("market_breadth_daily")
         health = self.warehouse.read("qqq_health_daily")
-        if market is not None and health is not None:
-            metrics = metrics.unionByName(
-                quality.index_status(health.select("index_id", "date", "component_count"), market)
-            )
+        if market is not None:
+            metrics = metrics.unionByName(quality.breadth_status(market))
+        if health is not None:
+            metrics = metrics.unionByName(quality.component_status(health.select("index_id", "date", "component_count")))
+        index_table = self.warehouse.read("qqq_health_outcomes_daily")
+        metrics = metrics.unionByName(self._availability(health, index_table))
         ties = quality.tie_diagnostics(outcomes, self.conf.outcomes)
         rows = stage(study_rows(features, outcomes), "sanity")
         two = ["mfe_pct_10d", "mae_pct_10d"]
@@ -140,12 +142,29 @@ class Engine:
         }
         if market is not None:
             tables |= breadth_sanity(market)
-        index_table = self.warehouse.read("qqq_health_outcomes_daily")
         if health is not None and index_table is not None:
             tables |= index_sanity(health, index_table)
         self.warehouse.write_report("data_quality", tables, metrics)
         return tables
 
+    def _availability(self, health: DataFrame | None, outcomes: DataFrame | None) -> DataFrame:
+        """Rows of the index tables (0 where there is none), and 1 or 0 for whether index health is available."""
+        out = None
+        for name, df in (("qqq_health_rows", health), ("qqq_health_outcome_rows", outcomes)):
+            counted = self.spark.range(0 if df is None else 1).agg(F.count(F.lit(1)).alias("k")) if df is None else df.agg(F.count(F.lit(1)).alias("k"))
+            one = quality.as_rows(counted, {name: "k"})
+            out = one if out is None else out.unionByName(one)
+        flag = self.spark.range(1).select(F.lit(int(health is not None)).alias("k"))
+        return out.unionByName(quality.as_rows(flag, {"qqq_health_available": "k"}))
+
+    def index_error(self) -> str | None:
+        """Why the index table could not be built, as its lineage says; None where it was."""
+        if self.warehouse.read("qqq_health_daily") is not None:
+            return None
+        lineage = self.warehouse.read_lineage("qqq_health_daily")
+        row = lineage.select("error").first() if lineage is not None else None
+        return row["error"] if row else None
+
     # B10 - B12
     def _year(self, start: date, end: date) -> DataFrame:
         year = check_single_year(start, end)
@@ -184,7 +203,7 @@ class Engine:
             F.col("date").between(start, end)
         )
         outcomes = self._table("stock_outcomes_daily", [year])
-        return stage(year_rows(features, outcomes, year), "state")
+        return stage(year_rows(features, outcomes, year, self.conf), "state")
 
     def opportunity_study(self, start: date, end: date) -> dict[str, DataFrame]:
         rows = self._target_year(start, end)
@@ -201,7 +220,9 @@ class Engine:
         rows = self._target_year(start, end)
         tables = studies.candidate_states(rows, self.conf.study)
         tables["state_population"] = studies.state_population(rows, self.conf.study)
-        summary = studies.coverage_rows(rows, self.conf.study.state_rs_horizons, self.conf.study)
+        summary = studies.coverage_rows(rows, self.conf.study.state_rs_horizons, self.conf.study).unionByName(
+            studies.small_sample_rows({k: v for k, v in tables.items() if k != "state_population"}, self.conf.study)
+        )
         self.warehouse.write_report("opportunity_state_candidate_rules", tables, summary)
         return tables
 

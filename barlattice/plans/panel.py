@@ -27,11 +27,37 @@ from ..operators.technical import (
 )
 from ..operators.ema import add_emas
 from ..operators.universe import add_gates, asset_type_ok, with_asset_type, with_shares
-from ..schemas import FEATURE_COLUMNS, conform, require_columns
+from ..schemas import FEATURE_COLUMNS, UNIVERSE_COLUMNS, conform, require_columns
 
 RANK_SOURCES = {**cfg.RS_SOURCES, **cfg.THRUST_SOURCES}
 
 
+def with_emas_first(bars: DataFrame, axis: Axis = TICKER) -> DataFrame:
+    """Bars with the EMAs the panel needs, laid out by ticker again.
+
+    The Arrow pass is the one step outside generated code and ends the known layout, so it runs on the bars' few
+    columns; a second exchange of narrow rows costs less than taking the whole panel through Python.
+    """
+    emas = [("ema10", "close", 10), ("ema20", "close", 20)] + thrust_emas()
+    narrow = add_returns(bars.repartition(axis.key), axis, {"return_1d": 1})
+    return add_emas(narrow, emas, axis, co_located=True).repartition(axis.key)
+
+
+def build_universe(
+    bars: DataFrame, snapshots: DataFrame, shares: DataFrame, conf: EngineConfig = DEFAULT, axis: Axis = TICKER
+) -> DataFrame:
+    """Universe gates only, on one ticker layout (stage it under `joined_by_entity`); `bars` as for the panel."""
+    df = with_shares(bars.repartition(axis.key), shares).drop("bucket_month")
+    df = with_asset_type(df, asset_type_ok(snapshots.repartition(axis.key), conf.universe))
+    return add_gates(add_adr(df, axis, conf.universe.adr_window), conf.universe).select(*UNIVERSE_COLUMNS)
+
+
+def build_outcomes(bars: DataFrame, conf: EngineConfig = DEFAULT, axis: Axis = TICKER) -> DataFrame:
+    """Forward outcomes from bars alone."""
+    df = add_atr(bars.repartition(axis.key), axis).drop("true_range")
+    return outcomes_table(add_outcomes(df, conf.outcomes, axis=axis))
+
+
 def build_panel(
     bars: DataFrame,
     snapshots: DataFrame,
@@ -43,10 +69,10 @@ def build_panel(
     """Universe gates, all features but the cross-sectional ranks, and forward outcomes.
 
     `bars` carry `close_unadjusted`. Everything keyed by ticker is laid out by ticker once;
-    lookups are joined on that layout (see `joined_by_entity`), windows reuse it, and the
-    one Arrow pass for EMAs comes last because it ends the known layout.
+    lookups are joined on that layout (see `joined_by_entity`) and windows reuse it. The one
+    Arrow pass, for EMAs, comes first and is narrow.
     """
-    df = bars.repartition(axis.key)
+    df = with_emas_first(bars, axis)
     df = with_shares(df, shares).drop("bucket_month")
     listed = asset_type_ok(snapshots.repartition(axis.key), conf.universe)
     df = with_asset_type(df, listed)
@@ -60,8 +86,6 @@ def build_panel(
     df = add_gates(df, conf.universe)
     if outcomes:
         df = add_outcomes(df, conf.outcomes, axis=axis).drop("is_new_20d_high")
-    emas = [("ema10", "close", 10), ("ema20", "close", 20)] + thrust_emas()
-    df = add_emas(df, emas, axis, co_located=True)
     return thrust_columns(add_ema_distances(df))
 
 
@@ -86,8 +110,17 @@ def panel_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> Data
 
 
 def with_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
-    """All rows of the panel; ineligible ones have NULL percentiles."""
-    return panel.join(panel_ranks(panel, sources), ["date", "ticker"], "left")
+    """All rows of the panel; ineligible ones have NULL percentiles and take no part in the join."""
+    sources = RANK_SOURCES if sources is None else sources
+    ranked = eligible_only(panel).join(panel_ranks(panel, sources), ["date", "ticker"], "left")
+    return ranked.unionByName(without_ranks(panel, sources))
+
+
+def without_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
+    """The ineligible rows of a panel, with NULL percentiles."""
+    sources = RANK_SOURCES if sources is None else sources
+    rest = panel.filter(~F.coalesce("eligible", F.lit(False)))
+    return rest.withColumns({n: F.lit(None).cast("double") for n in sources})
 
 
 def features_table(panel: DataFrame) -> DataFrame:
@@ -106,7 +139,7 @@ def study_rows(features: DataFrame, outcomes: DataFrame) -> DataFrame:
     return eligible_only(features).join(outcomes.select(*extra), ["date", "ticker"])
 
 
-def year_rows(features: DataFrame, outcomes: DataFrame, year: int) -> DataFrame:
+def year_rows(features: DataFrame, outcomes: DataFrame, year: int, conf: EngineConfig = DEFAULT) -> DataFrame:
     """Eligible rows of one year with their prior-extension history.
 
     History runs over the whole unfiltered input; the year and eligibility filters follow.
@@ -114,13 +147,13 @@ def year_rows(features: DataFrame, outcomes: DataFrame, year: int) -> DataFrame:
     require_columns(
         features,
         ["date", "ticker", "eligible", "atr_extension", "distance_ema10_pct", "distance_ema20_pct",
-         *DEFAULT.study.state_rs_horizons],
+         *conf.study.state_rs_horizons],
         "stock_features_daily",
     )
     refuse_later_years(features, year)
     # Only what the history needs travels through its windows; the wide rows of the one
     # year's eligible tickers are joined afterwards.
     slim = features.select("date", "ticker", "eligible", "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
-    past = eligible_only(add_prior_extension_history(slim).filter(F.year("date") == year))
+    past = eligible_only(add_prior_extension_history(slim, conf.history).filter(F.year("date") == year))
     rows = study_rows(features.filter(F.year("date") == year), outcomes)
     return rows.join(past.select("date", "ticker", *HISTORY_COLUMNS), ["date", "ticker"])

@@ -68,6 +68,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Remove a staged table's files (only ones below the stage folder); the frame can't be read any more."""
+    spark = df.sparkSession
+    root = stage_root(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root.split("://")[-1].lstrip("/") in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def joined_by_entity(spark: SparkSession):
     """While a panel is built: let joins on (ticker, date) reuse a partitioning by ticker.

@@ -18,16 +18,25 @@ from ..config import RAW_SOURCES
 from ..schemas import BAR_COLUMNS, LANDED, REFERENCE_COLUMNS, VENDOR, VENDOR_RENAMES, conform
 
 _DATE_IN_PATH = r"date=(\d{4}-\d{2}-\d{2})"
-_TINY = 16 * 1024  # a Parquet file without columns holds only a short footer
 
 
 def source_path(root: str, source: str) -> str:
     return f"{root.rstrip('/')}/{source}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop = _file_system(spark, path)
+    return system.exists(hadoop)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    system, hadoop = _file_system(spark, path)
+    system.delete(hadoop, True)
 
 
 def _date_of(path: Column) -> Column:
@@ -56,7 +65,7 @@ def scan_landed(spark: SparkSession, root: str, source: str, start=None, end=Non
     """One source's days in [start, end]; only those date directories are opened."""
     schema = _with_date(LANDED[source])
     path = source_path(root, source)
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return _missing_as_null(_between(spark.read.schema(schema).parquet(path), start, end))
 
@@ -90,7 +99,7 @@ def scan_shares(spark: SparkSession, path: str) -> DataFrame:
 def landed_files(spark: SparkSession, root: str, source: str, start=None, end=None) -> DataFrame:
     """(date, path, length) of every file of a source, empty ones included; contents are not read."""
     path = source_path(root, source)
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "date date, path string, length long")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -165,7 +174,7 @@ def ingest_days(incoming: DataFrame, root: str, source: str, force: bool = False
 
 
 def _columns_of(batches: Iterator) -> Iterator:
-    """path -> number of columns, from the footer of (tiny) file contents."""
+    """path -> number of columns, from the files' footers."""
     import io
 
     import pandas as pd
@@ -177,13 +186,12 @@ def _columns_of(batches: Iterator) -> Iterator:
 
 
 def columnless_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of files that hold no columns. Only files too small to hold any are opened."""
-    tiny = (
+    """Paths of files that hold no columns, as their footers say."""
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").load(path)
-        .filter(F.col("length") <= _TINY).select("path", "content")
+        .option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
     )
-    return tiny.mapInPandas(_columns_of, "path string, n_columns long").filter("n_columns = 0").select("path")
+    return files.mapInPandas(_columns_of, "path string, n_columns long").filter("n_columns = 0").select("path")
 
 
 @contextmanager

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PROCESSED_TABLES
-from .landing import _exists
+from .landing import path_exists
 
 LINEAGE = (
     "table string, status string, build_timestamp_utc string, data_start string, data_end string, "
@@ -49,7 +49,7 @@ class Warehouse:
     def read(self, table: str, years=None) -> DataFrame | None:
         """The table, or only some of its year directories; None when it was never built."""
         path = f"{self.path(table)}/data"
-        if not _exists(self.spark, path):
+        if not path_exists(self.spark, path):
             return None
         df = self.spark.read.parquet(path)
         if years is not None:
@@ -71,7 +71,7 @@ class Warehouse:
 
     def read_lineage(self, table: str) -> DataFrame | None:
         path = f"{self.path(table)}/_lineage"
-        return self.spark.read.schema(LINEAGE).json(path) if _exists(self.spark, path) else None
+        return self.spark.read.schema(LINEAGE).json(path) if path_exists(self.spark, path) else None
 
     def write_report(self, report: str, tables: dict[str, DataFrame], summary: DataFrame | None = None) -> None:
         """Each table as Parquet and CSV, the summary rows as JSON, under the report's own folder."""

@@ -41,6 +41,7 @@ FROM adj a LEFT JOIN shares s ON a.ticker = s.ticker AND CAST(date_trunc('month'
 Q["universe_daily"] = (
     f"SELECT {K}, {rr('close', 'high', 'low', 'adr20', 'market_cap')}, asset_type_ok, adr20_ok, market_cap_ok, eligible FROM universe"
 )
+Q["universe_from_two_scans"] = Q["universe_daily"]
 simple("rs_percentile", "features", RS)
 Q["rs_percentile"] += " WHERE eligible"
 simple("thrust_percentile", "features", THRUST)
@@ -282,7 +283,9 @@ Q["universe_quality"] = metric_rows(DAYS, [
 ]) + "\nUNION ALL\n" + (
     f"SELECT 'tickers_per_year' AS metric, year(date)::VARCHAR AS key, {r('count(DISTINCT ticker)::DOUBLE', 'value')} FROM universe GROUP BY year(date)"
 ) + "\nUNION ALL\n" + metric_rows("(SELECT * FROM universe WHERE close > 1000000)", [
-    ("implausible_price_ticker_count", NOKEY, "count(DISTINCT ticker)")])
+    ("implausible_price_ticker_count", NOKEY, "count(DISTINCT ticker)")]) + """
+UNION ALL SELECT 'implausible_price_ticker_example' AS metric, ticker::VARCHAR AS key, 1::DOUBLE AS value
+FROM (SELECT DISTINCT ticker FROM universe WHERE close > 1000000 ORDER BY ticker LIMIT 10)"""
 NEAR = "(SELECT * FROM universe WHERE market_cap BETWEEN 850000000 AND 1150000000)"
 VOL = f"""(SELECT DISTINCT ticker FROM (SELECT ticker, cap / lag(cap) OVER (PARTITION BY ticker ORDER BY m) AS q FROM (
 SELECT ticker, date_trunc('month', date) AS m, avg(market_cap) AS cap FROM universe
@@ -339,20 +342,37 @@ for c in ("mco_z", "mcsi_z", "pct_above_ema21", "high_low_pct"):
 # --- landing
 WK = "datediff('day', DATE '1995-01-02', date) // 7"
 simple("landed_scan", "bars", ("open", "high", "low", "close", "volume"))
-Q["landed_scan"] += f" WHERE ({WK}) % 7 <> 3"
+simple("bounded_scan", "bars", ("open", "high", "low", "close", "volume"))
+Q["bounded_scan"] += " WHERE year(date) = 1996"
+Q["reference_scan"] = "SELECT date, ticker, type, primary_exchange FROM refs WHERE year(date) = 1996"
+RAW_MEMBERS = """(SELECT date, ticker FROM bars WHERE (ticker + datediff('day', DATE '1995-01-02', date) // 7 // 26) % 2 = 0)"""
+Q["member_scan"] = f"""SELECT 'IDX' AS index_id, date, ticker AS constituent_ticker,
+{r('1.0::DOUBLE / count(*) OVER (PARTITION BY date)', 'weight')} FROM {RAW_MEMBERS} WHERE year(date) = 1996"""
+Q["shares_scan"] = f"SELECT ticker, bucket_month, {r('shares::DOUBLE', 'shares')} FROM shares"
+LINEAGE = "min(date)::DATE::VARCHAR AS data_start, max(date)::DATE::VARCHAR AS data_end"
+Q["lineage_round_trip"] = f"""SELECT 'market_breadth_daily' AS "table", 'available' AS status, {LINEAGE}, 'bars' AS source,
+'abc' AS code_commit_hash, CAST(NULL AS VARCHAR) AS error FROM bars
+UNION ALL SELECT 'qqq_health_daily', 'unavailable', {LINEAGE}, 'members', 'abc', 'no members' FROM bars"""
+Q["report_round_trip"] = "SELECT ticker, count(*) AS bars FROM bars GROUP BY ticker"
+Q["ranks_with_gaps"] = """SELECT date, count(*) AS n_rows, count(CASE WHEN ticker % 5 <> 2 THEN return_21d END) AS n_known,
+count(CASE WHEN ticker % 5 <> 2 THEN return_21d END) AS n_ranked FROM features WHERE eligible GROUP BY date"""
 simple("streamed_landing", "bars", ("open", "high", "low", "close", "volume"))
-MANIFEST = f"""SELECT 'grouped_daily' AS source, date, count(*) AS row_count FROM bars WHERE ({WK}) % 7 <> 3 GROUP BY date
+GAPS = f"""SELECT 'grouped_daily' AS source, date, count(*) AS row_count FROM bars WHERE ({WK}) % 7 <> 3 GROUP BY date
 UNION ALL SELECT 'grouped_daily_unadjusted' AS source, date, count(*) AS row_count FROM bars
 WHERE ({WK}) % 7 <> 3 AND ({WK}) % 5 <> 1 GROUP BY date"""
-Q["raw_manifest"] = MANIFEST
+Q["raw_manifest"] = f"""SELECT s.source, date, count(*) AS row_count FROM bars,
+{values('source', ('grouped_daily', 'grouped_daily_unadjusted'))} s GROUP BY ALL
+UNION ALL SELECT 'qqq_constituents', date, count(*) FROM {RAW_MEMBERS} GROUP BY date
+UNION ALL SELECT 'reference_tickers', date, count(*) FROM refs GROUP BY date
+UNION ALL SELECT 'grouped_daily', DATE '1990-01-02', 0"""
 CAL = """(SELECT date FROM (SELECT CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date
 FROM (SELECT min(date) AS lo, max(date) AS hi FROM bars)) WHERE isodow(date) <= 5)"""
 Q["candidate_weekdays"] = f"SELECT date FROM {CAL}"
 SOURCES = ("grouped_daily", "grouped_daily_unadjusted", "qqq_constituents", "reference_tickers")
 Q["coverage_gaps"] = f"""SELECT s.source, c.date FROM {CAL} c, {values('source', SOURCES)} s
-WHERE NOT EXISTS (SELECT 1 FROM ({MANIFEST}) m WHERE m.source = s.source AND m.date = c.date)"""
+WHERE NOT EXISTS (SELECT 1 FROM ({GAPS}) m WHERE m.source = s.source AND m.date = c.date)"""
 Q["time_splits"] = """SELECT split, count(*) AS n, min(d) AS first_date, max(d) AS last_date FROM (
-SELECT d, CASE WHEN d BETWEEN DATE '2023-01-01' AND DATE '2024-12-31' THEN 'calibration'
+SELECT d, CASE WHEN d BETWEEN DATE '2023-01-01' AND DATE '2024-12-31' THEN 'fitting'
  WHEN d BETWEEN DATE '2025-01-01' AND DATE '2025-12-31' THEN 'validation'
  WHEN d >= DATE '2026-01-01' THEN 'out_of_sample' END AS split
 FROM (SELECT CAST(date + INTERVAL 336 MONTH AS DATE) AS d FROM bars)) GROUP BY split"""

@@ -9,9 +9,9 @@ def test_time_splits_and_warm_up(spark):
     days = [date(2022, 12, 30), date(2023, 1, 1), date(2024, 12, 31), date(2025, 6, 1), date(2026, 3, 1), date(2026, 9, 1)]
     df = spark.createDataFrame([(d,) for d in days], "date date")
     out = df.select(
-        "date", classify.time_split("date", F.lit(date(2026, 8, 11))).alias("s"), classify.in_calibration_window().alias("w")
+        "date", classify.time_split("date", F.lit(date(2026, 8, 11))).alias("s"), classify.in_fitting_window().alias("w")
     ).orderBy("date").collect()
-    assert [r["s"] for r in out] == [None, "calibration", "calibration", "validation", "out_of_sample", None]
+    assert [r["s"] for r in out] == [None, "fitting", "fitting", "validation", "out_of_sample", None]
     assert [r["w"] for r in out] == [False, True, True, True, True, True]
 
 
