@@ -25,22 +25,27 @@ def probes(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filling:
-    """Counters of one partition."""
+    """Counters of one partition, packed as they are sent."""
 
     def __init__(self, cells: int):
-        self.cells, self.counts = cells, np.zeros(cells, np.uint8)
+        self.cells, self.packed = cells, np.zeros(cells // 4, np.uint8)
 
     def add(self, keys: np.ndarray) -> None:
         for at in probes(keys, self.cells):
             cell, times = np.unique(at, return_counts=True)
-            self.counts[cell] = np.minimum(self.counts[cell] + np.minimum(times, 3), 3).astype(np.uint8)
+            times = np.minimum(times, 3).astype(np.uint8)
+            for k in range(4):  # the k-th counters of bytes: a byte occurs once in each turn
+                mine = cell & 3 == k
+                byte, shift = cell[mine] >> 2, np.uint8(2 * k)
+                now = self.packed[byte] >> shift & 3
+                self.packed[byte] += (np.minimum(now + times[mine], 3) - now) << shift
 
     def blocks(self):
-        step = min(BLOCK_CELLS, self.cells)
-        for k in range(self.cells // step):
-            part = self.counts[k * step : (k + 1) * step]
+        step = min(BLOCK_CELLS, self.cells) // 4
+        for k in range(len(self.packed) // step):
+            part = self.packed[k * step : (k + 1) * step]
             if part.any():
-                yield k, pack(part).tobytes()
+                yield k, part.tobytes()
 
 
 def pack(counts: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from barlattice.llm.sketch import Filling, at_least_two, cells_for, few_tasks, m
 from barlattice.llm.textbytes import Words, pieces, signed
 
 WINDOW, GRAM = 13, 5
-MAX_CELLS = 1 << 27
+MAX_CELLS = 1 << 28
 _NO_ID = -(1 << 63)  # a null id is below all others
 
 
@@ -81,8 +81,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
                 "pos": pa.array((starts - words.first[doc]).astype(np.int32))})
 
     found = docs.mapInArrow(emit, "window long, doc_id long, pos int")
-    first = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return found.join(first.select("window", "first"), "window").filter("doc_id > first").select("doc_id", "pos")
+    first = found.groupBy("window").agg(F.min("doc_id").alias("first"))
+    return found.join(first, "window").filter("doc_id > first").select("doc_id", "pos")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
