@@ -39,12 +39,16 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("n_item", F.size("words")).filter("n_item > 0").withColumn("item_key", F.xxhash64("item_id", "words"))
 
 
-def rare_positions(terms: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """item_key, item_pos, term: the two rarest positions of every window of every item."""
-    ranked = terms.join(frequency, "term", "left").fillna(0, ["df"])
-    ahead = Window.partitionBy("item_key").orderBy("item_pos").rowsBetween(0, window - 1)
+def rare_positions(terms: DataFrame, frequency: DataFrame, window: int, present: bool = False) -> DataFrame:
+    """item_key, item_pos, term: the two rarest positions of every window of every item (of terms that occur, if `present`).
+
+    A term that no document has is the rarest: a window with it stands nowhere, and its lists are empty.
+    """
+    ranked = terms.join(frequency, "term", "inner" if present else "left").fillna(0, ["df"])
+    ahead = Window.partitionBy("item_key").orderBy("item_pos").rangeBetween(0, window - 1)
     near = ranked.withColumn("near", F.slice(F.array_sort(F.collect_list(F.struct("df", "item_pos")).over(ahead)), 1, 2))
-    near = near.filter((F.col("item_pos") + window <= F.col("n_item")) | (F.col("item_pos") == 0))
+    if not present:
+        near = near.filter((F.col("item_pos") + window <= F.col("n_item")) | (F.col("item_pos") == 0))
     chosen = near.select("item_key", F.explode("near.item_pos").alias("item_pos")).distinct()
     return terms.join(chosen, ["item_key", "item_pos"])
 
@@ -66,7 +70,7 @@ def alignments(postings: DataFrame, rare: DataFrame, items: DataFrame) -> DataFr
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:
     """doc_id, item_id, first_pos, last_pos: two rare terms of one item at their distance, give or take `slop` words."""
-    items, terms, rare = _rare(docs, benchmark, window)
+    items, _, rare = _rare(docs, benchmark, window, present=True)
     found = build_index(docs, rare).join(rare, "term").withColumn("diag", F.col("pos") - F.col("item_pos"))
     # Alignments within the slop share a cell or lie in neighbouring ones.
     cell = F.floor(F.col("diag") / (slop + 1))
@@ -81,13 +85,13 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     return both.join(items.select("item_key", "item_id"), "item_key").select("doc_id", "item_id", "first_pos", "last_pos")
 
 
-def _rare(docs: DataFrame, benchmark: DataFrame, window: int):
+def _rare(docs: DataFrame, benchmark: DataFrame, window: int, present: bool = False):
     items = staged(item_words(benchmark), "bench-items")
     terms = staged(items.select("item_key", "n_item", F.posexplode("words").alias("item_pos", "term")), "bench-terms")
     vocabulary = _small(staged(terms.select("term").distinct(), "bench-vocabulary"))
     seen = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     frequency = staged(seen.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bench-df")
-    return items, terms, staged(rare_positions(terms, frequency, window), "bench-rare")
+    return items, terms, staged(rare_positions(terms, frequency, window, present), "bench-rare")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -215,9 +215,8 @@ def identify(docs: DataFrame, learn: DataFrame, vocabulary: str = VOCABULARY, sa
             words = _letters(texts)
             _, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
             logs = np.zeros((len(first), len(langs)))
-            for rows, matrix in word_matrix(words, first):
+            for rows, matrix in word_matrix(words, first) if langs else ():
                 logs[rows] = forward(known, matrix, now)
-            total = np.zeros((batch.num_rows + 1, len(langs)))
             by_word = np.concatenate([np.zeros((1, len(langs))), np.cumsum(logs[back], axis=0)])
             total = by_word[words.first[1:]] - by_word[words.first[:-1]]
             ascii_letter = np.concatenate([[0], np.cumsum(_LETTER[words.folded] & (words.folded < 128))])

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from barlattice.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup
+from barlattice.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_dedup,
+    mixing,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
