@@ -22,10 +22,10 @@ from barlattice.llm.common import PLAIN_WORD, lowered, staged, table
 
 LABELLED_ROWS = 12_000  # rows that are learned from, about
 FOLDS = 3
-TERMS = 1_500  # a category
+TERMS = 400  # a category
 MIN_DOCS = 3
-REGULARISATION = 0.003
-ROUNDS = 25
+REGULARISATION = 0.0003
+ROUNDS = 40
 
 
 def _words(text: Column) -> Column:
