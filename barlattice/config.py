@@ -54,8 +54,6 @@ TIME_SPLITS = (
     ("out_of_sample", date(2026, 1, 1), None),
 )
 
-HISTORY_BUFFER_START = date(2022, 1, 1)
-
 RAW_SOURCES = (
     "grouped_daily",
     "grouped_daily_unadjusted",

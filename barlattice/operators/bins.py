@@ -16,6 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PIECES = 256
+PIECE_ROWS = 1_000_000  # rows of all groups together that one bin should hold at most, about
+
+
+def pieces_for(rows: DataFrame, least: int = DEFAULT_PIECES, piece_rows: int = PIECE_ROWS) -> int:
+    """Number of bins that grows with a stored table, so that no (group, bin) outgrows a task.
+
+    Edges follow the values of all rows: a group that holds half of them in a narrow band also gets half of the bins.
+    """
+    return max(least, math.ceil(rows.count() / piece_rows))
 
 
 @dataclass(frozen=True)

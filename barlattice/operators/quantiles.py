@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .bins import DEFAULT_PIECES, value_edges
+from .bins import pieces_for, value_edges
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class Coded:
 
 
 def code_rows(
-    rows: DataFrame, groups: dict, columns, keep=(), pieces: int = DEFAULT_PIECES
+    rows: DataFrame, groups: dict, columns, keep=(), pieces: int | None = None
 ) -> Coded:
     """Write what the later passes need: group columns, metric columns, their bins, `keep`.
 
@@ -72,7 +72,7 @@ def code_rows(
     of ids, for rows that belong to several groups.
     """
     columns = tuple(dict.fromkeys(columns))
-    edges = value_edges(rows, {c: c for c in columns}, pieces)
+    edges = value_edges(rows, {c: c for c in columns}, pieces or pieces_for(rows))
     coded = rows.select(
         *[(F.col(e) if isinstance(e, str) else e).alias(k) for k, e in groups.items()],
         *dict.fromkeys([*columns, *keep]),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bins import DEFAULT_PIECES, value_edges
+from .bins import pieces_for, value_edges
 
 _SALTS = 64
 
@@ -22,7 +22,7 @@ def rank_percentiles(
     sources: dict[str, str],
     key: str = "ticker",
     group: str = "date",
-    pieces: int = DEFAULT_PIECES,
+    pieces: int | None = None,
 ) -> DataFrame:
     """One row per (group, key) with a percentile column per entry of `sources`.
 
@@ -31,7 +31,7 @@ def rank_percentiles(
     not take part.
     """
     names = list(sources)
-    edges = value_edges(rows, sources, pieces)
+    edges = value_edges(rows, sources, pieces or pieces_for(rows))
     salt = F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
 
     def slot(i: int, name: str) -> Column:

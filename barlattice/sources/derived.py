@@ -50,14 +50,6 @@ def scaled(bars: DataFrame) -> DataFrame:
     return bars.withColumns({c: F.col(c) * factor for c in ("open", "high", "low", "close")})
 
 
-def adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaled(weekly_bars(spark, sf_dir))
-
-
-def unadjusted_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly_bars(spark, sf_dir).select("date", "ticker", F.col("close").alias("close_unadjusted"))
-
-
 def panel_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjusted bars that also carry the close as traded: one pass over the order lines."""
     bars = weekly_bars(spark, sf_dir).withColumn("close_unadjusted", F.col("close"))

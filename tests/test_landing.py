@@ -66,6 +66,33 @@ def test_stream_lands_new_files_once(spark, tmp_path):
     assert len(got) == 6 and got[(D[0], "A")] == 10.0 and got[(D[2], "B")] == 7.0
 
 
+@pytest.mark.parametrize("force", [False, True])
+def test_stream_lands_a_day_that_spans_batches(spark, tmp_path, force):
+    incoming, root, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    bars(spark, D[:1], ("A",)).coalesce(1).write.parquet(incoming)
+    bars(spark, D[:1], ("B",)).coalesce(1).write.mode("append").parquet(incoming)
+    ingest_stream(spark, incoming, root, "grouped_daily", ck, force, files_per_trigger=1)
+    assert {r["ticker"] for r in landing.scan_bars(spark, root).collect()} == {"A", "B"}
+    bars(spark, D[:1], ("C",)).coalesce(1).write.mode("append").parquet(incoming)
+    bars(spark, D[:1], ("E",)).coalesce(1).write.mode("append").parquet(incoming)
+    ingest_stream(spark, incoming, root, "grouped_daily", ck, force, files_per_trigger=1)
+    want = {"C", "E"} if force else {"A", "B"}
+    assert {r["ticker"] for r in landing.scan_bars(spark, root).collect()} == want
+
+
+def test_stream_lands_what_a_failed_run_held(spark, tmp_path):
+    incoming, root, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    bars(spark, D[:1], ("A",)).write.parquet(f"{ck}-held/batch=0")  # an earlier run broke off before landing
+    bars(spark, D[:1], ("B",)).write.parquet(incoming)
+    ingest_stream(spark, incoming, root, "grouped_daily", ck + "x")
+    assert {r["ticker"] for r in landing.scan_bars(spark, root).collect()} == {"B"}
+    bars(spark, D[1:2], ("B",)).write.mode("append").parquet(incoming)
+    os.rename(f"{ck}-held", f"{ck}x-held")
+    os.rename(f"{ck}x-held/batch=0", f"{ck}x-held/batch=7")
+    ingest_stream(spark, incoming, root, "grouped_daily", ck + "x", force=True)
+    assert {(r["date"], r["ticker"]) for r in landing.scan_bars(spark, root).collect()} == {(D[0], "A"), (D[1], "B")}
+
+
 def test_vendor_files_with_an_empty_one(spark, tmp_path):
     src = tmp_path / "vendor" / "grouped_daily" / "year=2024"
     os.makedirs(src)

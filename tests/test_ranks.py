@@ -65,3 +65,20 @@ def test_dates_are_ranked_apart(frame, collected):
     pdf = pd.DataFrame({"date": [a, a, b, b], "ticker": [1, 2, 1, 2], "x": [1.0, 2.0, 200.0, 100.0]})
     out = collected(rank_percentiles(frame(pdf), {"p": "x"}), "date", "ticker")
     assert out.p.tolist() == [50.0, 100.0, 100.0, 50.0]
+
+
+def test_pieces_grow_with_the_rows_and_no_piece_outgrows_its_share(spark):
+    """One date holds half of all rows, with values in a narrow band."""
+    from barlattice.operators.bins import pieces_for, value_edges
+
+    n = 4000
+    rows = spark.range(n).selectExpr(
+        "if(id % 2 = 0, 0, id % 50 + 1) AS date", "id AS ticker", "if(id % 2 = 0, 5 + id / 1e9, id * 1.0) AS x").cache()
+    pieces = pieces_for(rows, least=8, piece_rows=100)
+    assert pieces == 40
+    edges = value_edges(rows, {"x": "x"}, pieces)["x"]
+    largest = rows.groupBy("date", edges.bin_of(rows["x"]).alias("b")).count().agg({"count": "max"}).first()[0]
+    assert largest <= 1.3 * n / pieces
+    few = {(r["date"], r["ticker"]): r["p"] for r in rank_percentiles(rows, {"p": "x"}, pieces=8).collect()}
+    many = {(r["date"], r["ticker"]): r["p"] for r in rank_percentiles(rows, {"p": "x"}, pieces=pieces).collect()}
+    assert few == many and len(few) == n
