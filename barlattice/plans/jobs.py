@@ -31,9 +31,12 @@ class Engine:
     commit: str = "unknown"
 
     def _store(self, table: str, df: DataFrame, start: date, end: date, source: str) -> DataFrame:
+        """Write the table; its lineage records the range of the stored rows (the asked one if there are none)."""
         self.warehouse.write(table, df)
-        self.warehouse.write_lineage(table, start, end, source, self.commit)
-        return self.warehouse.read(table)
+        stored = self.warehouse.read(table)
+        first, last = stored.agg(F.min("date"), F.max("date")).first()
+        self.warehouse.write_lineage(table, first or start, last or end, source, self.commit)
+        return stored
 
     def _table(self, name: str, years=None) -> DataFrame:
         df = self.warehouse.read(name, years)
