@@ -16,12 +16,14 @@ its many places is split by adaptive execution.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlattice.llm.common import table
+from barlattice.llm.common import pruned_joins, staged, table
 from barlattice.llm.sketch import Filling, at_least_two, cells_for, few_tasks, merged
 from barlattice.llm.textbytes import Words, pieces, signed
 
@@ -85,16 +87,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     return found.join(first, "window").filter("doc_id > first").select("doc_id", "pos")
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
+_CUT = "given_id long, doc_id long, n_words long, n_removed long, kept string"
 
-    Words are parted by ASCII white space and compared as bytes. Null text has no words (kept is empty). A text of
-    fewer words than a window stays. Null ids are below all others; rows that repeat an id are one document,
-    so they don't remove each other's words. An empty table gives no rows; other columns are ignored.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("given_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    gone = repeated_windows(rows.select("doc_id", "text"), window, gram, max_cells)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))
+
+def _cutter(window: int):
+    """Rows (given_id, doc_id, text, gone: window starts or null) to counts and the words that stay."""
 
     def cut(batches):
         for batch in pieces(batches):
@@ -112,16 +109,41 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cel
                 kept.append(b" ".join(words.data[s:e].tobytes() for s, e in zip(words.start[stays], words.end[stays])))
                 n_removed.append(int(high - low - len(stays)))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("given_id"), "n_words": pa.array(words.counts.astype(np.int64)),
+                "given_id": batch.column("given_id"), "doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)),
                 "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    met = rows.join(gone, "doc_id", "left").select("given_id", "text", "gone")
-    return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return cut
+
+
+def cut_repeats(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS,
+    finish: Callable[[Column], Column] = lambda kept: kept,
+) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
+
+    Words are parted by ASCII white space and compared as bytes. Null text has no words (kept is empty). A text of
+    fewer words than a window stays. Null ids are below all others; rows that repeat an id are one document,
+    so they don't remove each other's words. An empty table gives no rows; other columns are ignored.
+
+    `finish` is applied to kept before rows move, so a caller that needs a digest moves no text of untouched documents;
+    touched ones are joined with their windows behind a runtime Bloom filter.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("given_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
+    gone = repeated_windows(rows.select("doc_id", "text"), window, gram, max_cells)
+    gone = staged(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"), F.lit(1).alias("listed")), "substring-gone")
+    out = lambda df: df.select("doc_id", F.col("given_id"), "n_words", "n_removed", finish(F.col("kept")).alias("kept"))
+    with pruned_joins(docs.sparkSession):
+        met = rows.join(gone.filter("listed > 0").select("doc_id", "gone"), "doc_id").select("given_id", "doc_id", "text", "gone")
+        touched = staged(out(met.mapInArrow(_cutter(window), _CUT)), "substring-touched")
+    bare = rows.withColumn("gone", F.lit(None).cast("array<int>")).select("given_id", "doc_id", "text", "gone")
+    rest = out(bare.mapInArrow(_cutter(window), _CUT)).join(gone.select("doc_id"), "doc_id", "left_anti")
+    both = touched.unionByName(rest)
+    return both.select(F.col("given_id").alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def op5_substring_dedup(spark, sf_dir):
-    found = cut_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    found = cut_repeats(table(spark, sf_dir, "documents"), finish=lambda kept: F.sha2(kept, 256))
+    return found.withColumnRenamed("kept", "kept_sha256")
 
 
 OP5_SQL = r"""
