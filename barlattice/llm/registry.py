@@ -23,6 +23,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "line_runs": line_dedup.line_runs,
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
@@ -32,5 +33,6 @@ ORACLES = {
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "line_runs": line_dedup.LINE_RUNS_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barlattice.llm.common import staged, table
 from barlattice.llm.decontaminate import contamination
 from barlattice.llm.jaccard_join import near_groups
-from barlattice.llm.line_dedup import dedup_lines
+from barlattice.llm.line_dedup import dedup_runs
 from barlattice.llm.mixing import mix_sources
 from barlattice.llm.toxicity import score_toxicity
 
@@ -23,8 +23,8 @@ def toxicity(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Chunks of lines that stand earlier in the corpus are cut; a text that is cut whole goes with its row."""
-    cut = dedup_lines(docs).filter("NOT line_stats.emptied")
+    """Runs of two or more lines that stand earlier in the corpus are cut; a text that is cut whole goes with its row."""
+    cut = dedup_runs(docs).filter("NOT line_stats.emptied")
     return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

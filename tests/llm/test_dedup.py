@@ -132,6 +132,50 @@ def test_line_chunks_resist_shifts(spark):
     assert out[0] == 0 and all(out[k] >= 30 for k in (1, 2, 3))
 
 
+def test_line_runs_inside_own_text(spark):
+    """Passages of 2 to 5 lines of 25 to 60 words, each in two texts of own lines: every line of the later copy goes."""
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(25, 61)))
+    rows, size = [], {}
+    for k in range(40):
+        passage = [line() for _ in range(2 + k % 4)]
+        for half in (0, 1):
+            before, after = ([line() for _ in range(rng.randrange(1, 6))] for _ in range(2))
+            rows.append((100 * half + k, "\n".join(before + passage + after), None, None, None))
+        size[100 + k] = (len(passage), "\n".join(before + after))
+    for r in line_dedup.dedup_runs(frame(spark, rows)).collect():
+        assert (r["line_stats"]["removed_lines"], r["text"]) == size.get(r["doc_id"], (0, rows[2 * (r["doc_id"] % 100)][1]))
+
+
+def test_line_runs(docs, rows):
+    """Against plain Python: chunks and pairs of lines with content, pooled."""
+    spans, first = [], {}
+    for i, t, *_ in rows:
+        lines, at, low = (t or "").split("\n"), 0, set()
+        for c in chunks_of(t):
+            if sum(x.strip(" ") != "" for x in c) >= 2:
+                low.add((at, at + len(c) - 1))
+            at += len(c)
+        filled = [k for k, x in enumerate(lines) if x.strip(" ") != ""]
+        low |= set(itertools.pairwise(filled))
+        spans.append((lines, low))
+        for a, b in low:
+            s = "\n".join(lines[a : b + 1])
+            first[s] = min(first.get(s, (10**9, 0)), (below(i), a))
+    want = []
+    for (i, t, *_), (lines, low) in zip(rows, spans, strict=True):
+        gone = {k for a, b in low if first["\n".join(lines[a : b + 1])] != (below(i), a) for k in range(a, b + 1)}
+        kept = [x for k, x in enumerate(lines) if k not in gone]
+        want.append((i, None if t is None else "\n".join(kept), len(lines), len(gone), bool(gone) and not any(x.strip(" ") for x in kept)))
+    out = line_dedup.dedup_runs(clashing(docs))
+    assert set(clashing(docs).columns) < set(out.columns)
+    assert ordered([(r["doc_id"], r["text"], *r["line_stats"]) for r in out.collect()]) == ordered(want)
+    assert line_dedup.dedup_runs(docs.limit(0)).count() == 0
+    # Every line that went has an equal one that stays.
+    left = {x for _, t, *_ in want for x in (t or "").split("\n")}
+    assert all(x in left for lines, _ in spans for x in lines if x.strip(" "))
+
+
 def shingles(text):
     w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in spaced(text)]
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
