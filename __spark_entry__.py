@@ -31,7 +31,7 @@ from barlattice.session import drop_staged, joined_by_entity, stage, stage_root,
 from barlattice.sources import derived, landing  # noqa: E402
 from barlattice.sources.warehouse import Warehouse  # noqa: E402
 from barlattice.streaming.ingest import ingest_stream  # noqa: E402
-from oracles.queries import ORACLES  # noqa: E402
+from oracles.queries import ORACLES, SMALL_SAMPLE_TABLES  # noqa: E402
 
 try:  # the corpus operators are an optional subpackage; this is the only place that does without it
     import corpus_pipeline
@@ -622,6 +622,12 @@ def q_small_sample_counts(f):
     return rounded(S.small_sample_rows(S.candidate_states(f.year())))
 
 
+def q_small_sample_studies(f):
+    """Thin cells of the tables of all four studies."""
+    tables = {"cross_matrix": _atr(f)["cross_matrix"]} | _opp(f) | _states(f) | S.pullback_study(f.year())
+    return rounded(S.small_sample_rows({k: tables[k] for k in SMALL_SAMPLE_TABLES}))
+
+
 def q_restricted_bars(f):
     """Bars of tickers that are an index member at any time."""
     return pick(index_health.restrict_to_members(f.bars(), f.members()), *KEY, "close")
@@ -685,6 +691,7 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "candidate_states_ema20": _table(_states, "candidate_states_by_rs_bucket_ema20"),
     "state_population": q_state_population,
     "small_sample_counts": q_small_sample_counts,
+    "small_sample_studies": q_small_sample_studies,
     "push_distance_distribution": q_push_distribution,
     "push_distance_buckets": q_push_distance_buckets,
     "pullback_range_comparison": q_pullback_ranges,

@@ -232,10 +232,12 @@ class Engine:
     def pullback_study(self, start: date, end: date) -> dict[str, DataFrame]:
         rows = self._target_year(start, end)
         tables = studies.pullback_study(rows, self.conf.study)
-        tables["extended_among_successful_pushes"] = studies.extended_among_pushes(rows, self.conf.study)
-        summary = studies.coverage_rows(rows, self.conf.study.state_rs_horizons, self.conf.study).unionByName(
-            studies.exclusion_counts(rows, self.conf.study)
+        summary = (
+            studies.coverage_rows(rows, self.conf.study.state_rs_horizons, self.conf.study)
+            .unionByName(studies.exclusion_counts(rows, self.conf.study))
+            .unionByName(studies.small_sample_rows(tables, self.conf.study))
         )
+        tables["extended_among_successful_pushes"] = studies.extended_among_pushes(rows, self.conf.study)
         self.warehouse.write_report("ema_pullback_range_study", tables, summary)
         return tables
 

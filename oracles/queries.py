@@ -253,6 +253,19 @@ Q["pullback_exclusions"] = metric_rows("yrows", [
       for c in ("distance_ema10_pct", "distance_ema20_pct", "atr_extension", *STATE_RS)],
 ])
 
+# Table of a study: the query that has it.
+SMALL_SAMPLE_TABLES = {
+    "cross_matrix": "rs_x_atr",
+    **{t: t for e in ("10", "20") for t in (f"rs_x_ema{e}", f"prior_extension_x_ema{e}", f"repeat_offender_ema{e}")},
+    **{f"candidate_states_by_rs_bucket_ema{e}": f"candidate_states_ema{e}" for e in ("10", "20")},
+    "push_distance_distribution": "push_distance_distribution", "push_distance_buckets": "push_distance_buckets",
+    "ema_pullback_candidate_comparison": "pullback_range_comparison",
+}
+Q["small_sample_studies"] = "\nUNION ALL\n".join(
+    f"SELECT 'small_sample_cells' AS metric, '{name}' AS key, {r('count(*)::DOUBLE', 'value')} FROM ({Q[q]}) "
+    f"WHERE {'n_in_range' if q == 'pullback_range_comparison' else 'n'} < 30" for name, q in SMALL_SAMPLE_TABLES.items()
+)
+
 # --- index
 IK = "index_id, date"
 Q["index_members"] = f"SELECT {IK}, constituent_ticker, {rr('weight')} FROM members"

@@ -53,6 +53,11 @@ def test_matches_sql(spark, duck, name):
             assert got[c].tolist() == want[c].tolist(), c
 
 
+def test_small_samples_of_every_study(spark, duck):
+    test_matches_sql(spark, duck, "small_sample_studies")
+    assert len(entry_module.SMALL_SAMPLE_TABLES) == 12
+
+
 def test_every_query_has_a_twin():
     assert set(entry_module._QUERIES) == set(entry_module.ORACLES)
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

@@ -138,6 +138,13 @@ def test_studies_run_and_write_reports(built):
         built.opportunity_study(date(2024, 1, 1), END)
 
 
+def test_pullback_summary_has_small_samples(built):
+    built.pullback_study(START, END)
+    summary = built.spark.read.json(f"{built.warehouse.root}/reports/ema_pullback_range_study/summary")
+    got = {r["key"] for r in summary.filter("metric = 'small_sample_cells'").collect()}
+    assert got == {"push_distance_distribution", "push_distance_buckets", "ema_pullback_candidate_comparison"}
+
+
 def test_studies_agree_on_the_universe(built):
     """Every eligible row with an RS value sits in exactly one cell per RS horizon."""
     rows = built._year(date(2024, 1, 1), date(2024, 7, 31))
