@@ -545,6 +545,18 @@ def q_member_scan(f):
     return rounded(df.withColumn("constituent_ticker", F.col("constituent_ticker").cast("long")))
 
 
+def q_reference_scan_whole(f):
+    """All landed reference days, without bounds."""
+    df = landing.scan_reference(f.spark, _landed(f))
+    return df.select("date", F.col("ticker").cast("long").alias("ticker"), "type", "primary_exchange")
+
+
+def q_member_scan_whole(f):
+    """All landed member days, without bounds."""
+    df = landing.scan_members(f.spark, _landed(f), index_id=derived.INDEX_ID)
+    return rounded(df.withColumn("constituent_ticker", F.col("constituent_ticker").cast("long")))
+
+
 def q_shares_scan(f):
     path = _fresh(f, "shares")
     f.shares().withColumn("ticker", F.col("ticker").cast("string")).write.parquet(path)
@@ -724,6 +736,8 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "bounded_scan": q_bounded_scan,
     "reference_scan": q_reference_scan,
     "member_scan": q_member_scan,
+    "reference_scan_whole": q_reference_scan_whole,
+    "member_scan_whole": q_member_scan_whole,
     "shares_scan": q_shares_scan,
     "lineage_round_trip": q_lineage_round_trip,
     "report_round_trip": q_report_round_trip,

@@ -361,6 +361,9 @@ Q["reference_scan"] = "SELECT date, ticker, type, primary_exchange FROM refs WHE
 RAW_MEMBERS = """(SELECT date, ticker FROM bars WHERE (ticker + datediff('day', DATE '1995-01-02', date) // 7 // 26) % 2 = 0)"""
 Q["member_scan"] = f"""SELECT 'IDX' AS index_id, date, ticker AS constituent_ticker,
 {r('1.0::DOUBLE / count(*) OVER (PARTITION BY date)', 'weight')} FROM {RAW_MEMBERS} WHERE year(date) = 1996"""
+Q["reference_scan_whole"] = "SELECT date, ticker, type, primary_exchange FROM refs"
+Q["member_scan_whole"] = f"""SELECT 'IDX' AS index_id, date, ticker AS constituent_ticker,
+{r('1.0::DOUBLE / count(*) OVER (PARTITION BY date)', 'weight')} FROM {RAW_MEMBERS}"""
 Q["shares_scan"] = f"SELECT ticker, bucket_month, {r('shares::DOUBLE', 'shares')} FROM shares"
 LINEAGE = "min(date)::DATE::VARCHAR AS data_start, max(date)::DATE::VARCHAR AS data_end"
 Q["lineage_round_trip"] = f"""SELECT 'market_breadth_daily' AS "table", 'available' AS status, {LINEAGE}, 'bars' AS source,

@@ -58,6 +58,13 @@ def test_small_samples_of_every_study(spark, duck):
     assert len(entry_module.SMALL_SAMPLE_TABLES) == 12
 
 
+@pytest.mark.parametrize("name", ["reference_scan", "member_scan"])
+def test_landed_files_are_read_whole(spark, duck, name):
+    test_matches_sql(spark, duck, f"{name}_whole")
+    bounded, whole = (duck.execute(entry_module.oracle_sql()[n]).df() for n in (name, f"{name}_whole"))
+    assert len(whole) > len(bounded)
+
+
 def test_every_query_has_a_twin():
     assert set(entry_module._QUERIES) == set(entry_module.ORACLES)
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
