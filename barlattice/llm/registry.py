@@ -5,6 +5,7 @@ from __future__ import annotations
 from barlattice.llm import (
     decontaminate,
     exact_dedup,
+    graph_neighbours,
     jaccard_join,
     language_id,
     license_scan,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op12_graph_neighbours": graph_neighbours.op12_graph_neighbours,
 }
 
 ORACLES = {
