@@ -11,6 +11,7 @@ from barlattice.llm import (
     license_scan,
     line_dedup,
     mixing,
+    source_audit,
     substring_dedup,
     suffix_dedup,
     toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_source_divergence": source_audit.op11_source_divergence,
     "op12_graph_neighbours": graph_neighbours.op12_graph_neighbours,
 }
 
@@ -37,4 +39,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "line_runs": line_dedup.LINE_RUNS_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_source_divergence": source_audit.OP11_SQL,
 }

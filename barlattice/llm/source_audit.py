@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from barlattice.llm.common import own_names, staged, table
 
-SPILL_ENTRIES, SPILL_BYTES = 400_000, 1 << 26
+SPILL_ENTRIES, SPILL_BYTES = 300_000, 1 << 26
 BLOCK, SLICE_TERMS = 128, 4096
 SCALE, PRIOR = 1_000_000_000, 5
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased UTF-8: letters of ASCII, and all characters beyond
@@ -101,12 +101,13 @@ def _shares(counts: np.ndarray, totals: np.ndarray, terms: int) -> np.ndarray:
 def _distances(key: tuple, stripes: pa.Table, groups: pa.Table) -> pa.Table:
     """Sums over a slice's terms of |p - q| for the sources of one block with those of another."""
     row_block, column_block = key[1].as_py(), key[2].as_py()
+    groups = groups.sort_by("number")
     names, number, totals = groups["source"].to_pylist(), groups["number"].to_numpy(), groups["total"].to_numpy()
-    place, terms = {int(n): i for i, n in enumerate(number)}, int(groups["terms"][0].as_py())
-    counts = np.zeros((len(stripes), len(names)), np.int64)
-    for i, (sources, values) in enumerate(zip(stripes["numbers"].to_pylist(), stripes["counts"].to_pylist(), strict=True)):
-        for n, value in zip(sources, values, strict=True):
-            counts[i, place[n]] = value
+    terms, counts = groups["terms"][0].as_py(), np.zeros((len(stripes), len(groups)), np.int64)
+    if len(stripes):
+        held = stripes["numbers"].combine_chunks()
+        row = np.repeat(np.arange(len(stripes)), np.diff(held.offsets.to_numpy()))
+        counts[row, np.searchsorted(number, held.flatten().to_numpy())] = stripes["counts"].combine_chunks().flatten().to_numpy()
     p = _shares(counts, totals, terms)
     rows, columns = (np.flatnonzero(number // BLOCK == b) for b in (row_block, column_block))
     out = {"source": [], "item": [], "value": []}
@@ -150,7 +151,7 @@ def divergences(docs: DataFrame, min_docs: int = 30, top_terms: int = 50, lang:
     plan = groups.join(langs, "lang").withColumn("slices", slices)
     dealt = plan.withColumn("b", F.explode(pairs)).filter(F.expr(f"number div {BLOCK} in (b.i, b.j)")).select(
         "lang", "b.i", "b.j", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "source", "number", "total", "terms")
-    # a stripe goes to the blocks that hold one of its sources; other terms of a slice count through `absent`
+    # every term goes to every pair of blocks, for two sources without it may differ as well
     placed = in_lang.join(plan.select("lang", "source", "number", "slices", "sources"), ["lang", "source"]).groupBy("lang", "term", "slices", "sources").agg(
         F.collect_list(F.struct("number", "count")).alias("stripe"))
     sent = placed.withColumn("b", F.explode(pairs)).select(
