@@ -11,6 +11,7 @@ from barlattice.llm import (
     license_scan,
     line_dedup,
     mixing,
+    phrase_mining,
     source_audit,
     substring_dedup,
     suffix_dedup,
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_source_divergence": source_audit.op11_source_divergence,
     "op12_graph_neighbours": graph_neighbours.op12_graph_neighbours,
+    "op13_phrase_mining": phrase_mining.op13_phrase_mining,
 }
 
 ORACLES = {
@@ -40,4 +42,5 @@ ORACLES = {
     "line_runs": line_dedup.LINE_RUNS_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_source_divergence": source_audit.OP11_SQL,
+    "op13_phrase_mining": phrase_mining.OP13_SQL,
 }
