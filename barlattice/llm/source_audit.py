@@ -33,7 +33,7 @@ SCALE, PRIOR = 1_000_000_000, 5
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased UTF-8: letters of ASCII, and all characters beyond
 
 
-def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fold(batches: Iterator[pa.RecordBatch], most: int = SPILL_ENTRIES) -> Iterator[pa.RecordBatch]:
     """Stripes (lang, term, n_docs, sources, counts) of documents (lang, source, text)."""
     stripes: dict[tuple[str, bytes], list] = {}
     entries = held = 0
@@ -63,7 +63,7 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     by_source[source] = n
                 else:
                     by_source[source] += n
-            if entries >= SPILL_ENTRIES or held >= SPILL_BYTES:
+            if entries >= most or held >= SPILL_BYTES:
                 yield spill()
                 stripes.clear()
                 entries = held = 0
@@ -71,9 +71,9 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spill()
 
 
-def merged_stripes(docs: DataFrame, min_docs: int) -> DataFrame:
+def merged_stripes(docs: DataFrame, min_docs: int, most: int = SPILL_ENTRIES) -> DataFrame:
     """lang, term, stripe (array of source and count) of the terms that stand in at least min_docs documents of the language."""
-    folded = docs.mapInArrow(fold, "lang string, term string, n_docs long, sources array<string>, counts array<long>")
+    folded = docs.mapInArrow(lambda batches: fold(batches, most), "lang string, term string, n_docs long, sources array<string>, counts array<long>")
     entries = folded.select("lang", "term", "n_docs", F.posexplode(F.arrays_zip("sources", "counts")).alias("place", "entry"))
     added = entries.groupBy("lang", "term", F.col("entry.sources").alias("source")).agg(
         F.sum("entry.counts").alias("count"), F.sum(F.when(F.col("place") == 0, F.col("n_docs")).otherwise(0)).alias("n_docs"))
@@ -98,7 +98,7 @@ def _shares(counts: np.ndarray, totals: np.ndarray, terms: int) -> np.ndarray:
     return 1 + exact.astype(np.int64)
 
 
-def _distances(key: tuple, stripes: pa.Table, groups: pa.Table) -> pa.Table:
+def _distances(key: tuple, stripes: pa.Table, groups: pa.Table, block: int) -> pa.Table:
     """Sums over a slice's terms of |p - q| for the sources of one block with those of another."""
     row_block, column_block = key[1].as_py(), key[2].as_py()
     groups = groups.sort_by("number")
@@ -109,7 +109,7 @@ def _distances(key: tuple, stripes: pa.Table, groups: pa.Table) -> pa.Table:
         row = np.repeat(np.arange(len(stripes)), np.diff(held.offsets.to_numpy()))
         counts[row, np.searchsorted(number, held.flatten().to_numpy())] = stripes["counts"].combine_chunks().flatten().to_numpy()
     p = _shares(counts, totals, terms)
-    rows, columns = (np.flatnonzero(number // BLOCK == b) for b in (row_block, column_block))
+    rows, columns = (np.flatnonzero(number // block == b) for b in (row_block, column_block))
     out = {"source": [], "item": [], "value": []}
     for i in rows:
         for j, value in zip(columns, np.abs(p[:, [i]] - p[:, columns]).sum(axis=0).tolist(), strict=True):
@@ -120,11 +120,12 @@ def _distances(key: tuple, stripes: pa.Table, groups: pa.Table) -> pa.Table:
                      "item": pa.array(out["item"], pa.string()), "value": pa.array(out["value"], pa.int64())})
 
 
-def divergences(docs: DataFrame, min_docs: int = 30, top_terms: int = 50, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+def divergences(docs: DataFrame, min_docs: int = 30, top_terms: int = 50, lang: str = "lang", source: str = "source", text: str = "text",
+                block: int = BLOCK, slice_terms: int = SLICE_TERMS, spill_entries: int = SPILL_ENTRIES) -> DataFrame:
     """lang, source, part, item, value, rank: pairs of sources, and the terms a source uses more than its language does."""
     own = own_names(docs, lang=lang, source=source, text=text)
     own = own.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in own.columns))
-    stripes = staged(merged_stripes(own, min_docs), "audit-stripes")
+    stripes = staged(merged_stripes(own, min_docs, spill_entries), "audit-stripes")
     entries = stripes.select("lang", "term", F.inline("stripe"))
     terms = stripes.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     known = own.groupBy("lang", "source").agg(F.lit(1).alias("one"))
@@ -145,21 +146,22 @@ def divergences(docs: DataFrame, min_docs: int = 30, top_terms: int = 50, lang:
         .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (p - q).alias("value")).filter("value > 0")
         .withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top_terms))
 
-    slices = F.greatest(F.lit(1), F.ceil(F.col("terms") / SLICE_TERMS)).cast("int")
-    blocks = F.sequence(F.lit(0), F.expr(f"(sources - 1) div {BLOCK}").cast("int"))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("terms") / slice_terms)).cast("int")
+    blocks = F.sequence(F.lit(0), F.expr(f"(sources - 1) div {block}").cast("int"))
     pairs = F.filter(F.flatten(F.transform(blocks, lambda i: F.transform(blocks, lambda j: F.struct(i.alias("i"), j.alias("j"))))), lambda b: b["i"] <= b["j"])
     plan = groups.join(langs, "lang").withColumn("slices", slices)
-    dealt = plan.withColumn("b", F.explode(pairs)).filter(F.expr(f"number div {BLOCK} in (b.i, b.j)")).select(
+    dealt = plan.withColumn("b", F.explode(pairs)).filter(F.expr(f"number div {block} in (b.i, b.j)")).select(
         "lang", "b.i", "b.j", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "source", "number", "total", "terms")
     # every term goes to every pair of blocks, for two sources without it may differ as well
     placed = in_lang.join(plan.select("lang", "source", "number", "slices", "sources"), ["lang", "source"]).groupBy("lang", "term", "slices", "sources").agg(
         F.collect_list(F.struct("number", "count")).alias("stripe"))
     sent = placed.withColumn("b", F.explode(pairs)).select(
         "lang", "b.i", "b.j", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice"),
-        F.filter("stripe", lambda x: F.floor(x["number"] / BLOCK).isin(F.col("b.i"), F.col("b.j"))).alias("stripe"),
+        F.filter("stripe", lambda x: F.floor(x["number"] / block).isin(F.col("b.i"), F.col("b.j"))).alias("stripe"),
     ).select("lang", "i", "j", "slice", F.col("stripe.number").alias("numbers"), F.col("stripe.count").alias("counts"))
     keys = ["lang", "i", "j", "slice"]
-    parts = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_distances, "lang string, source string, item string, value long")
+    parts = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(
+        lambda key, left, right: _distances(key, left, right, block), "lang string, source string, item string, value long")
     pair = parts.groupBy("lang", "source", F.lit("pair").alias("part"), "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(by_value))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pair.select(*columns).unionByName(more.select(*columns))
