@@ -1,6 +1,7 @@
 """Landed daily files: scans, listing, coverage, incremental ingest.
 
-Own layout:      <root>/<source>/date=YYYY-MM-DD/*.parquet, empty days with full schema.
+Own layout:      <root>/<source>/date=YYYY-MM-DD/*.parquet, empty days with full schema; and committed batches
+                 (see `batches`), whose days take the place of plain ones.
 Foreign layout:  <root>/<source>/year=YYYY/date=YYYY-MM-DD.parquet, possibly without columns.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import RAW_SOURCES
 from ..schemas import BAR_COLUMNS, LANDED, REFERENCE_COLUMNS, VENDOR, VENDOR_RENAMES, conform
+from .batches import batches_path, children, day_folders, live_days, path_exists, publish_days, remove_path
 
 _DATE_IN_PATH = r"date=(\d{4}-\d{2}-\d{2})"
 
@@ -24,21 +26,6 @@ def source_path(root: str, source: str) -> str:
     return f"{root.rstrip('/')}/{source}"
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    system, hadoop = _file_system(spark, path)
-    return system.exists(hadoop)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    system, hadoop = _file_system(spark, path)
-    system.delete(hadoop, True)
-
-
 def _date_of(path: Column) -> Column:
     return F.to_date(F.regexp_extract(path, _DATE_IN_PATH, 1))
 
@@ -61,13 +48,40 @@ def _with_date(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("date", T.DateType())])
 
 
+def _within(day: date, start, end) -> bool:
+    return (start is None or day >= start) and (end is None or day <= end)
+
+
+def _day_paths(spark: SparkSession, root: str, source: str, start, end) -> list[tuple[str, list[str]]]:
+    """(base, folders) to read for the days in range: plain days that no batch replaces, and the batches' days.
+
+    One listing of the source's folder finds the days; folders out of range are not opened. A source without batches
+    and without bounds is read as a whole.
+    """
+    path, out = source_path(root, source), []
+    live = live_days(spark, root, source)
+    if path_exists(spark, path):
+        if start is None and end is None and not live:
+            return [(path, [path])]
+        days = [d for d in day_folders(spark, path) if _within(d, start, end) and d not in live]
+        if days:
+            out.append((path, [f"{path}/date={d}" for d in days]))
+    days = {d: b for d, b in live.items() if _within(d, start, end)}
+    if days:
+        base = batches_path(root, source)
+        out.append((base, [f"{base}/batch={b}/date={d}" for d, b in sorted(days.items())]))
+    return out
+
+
 def scan_landed(spark: SparkSession, root: str, source: str, start=None, end=None) -> DataFrame:
-    """One source's days in [start, end]; only those date directories are opened."""
-    schema = _with_date(LANDED[source])
-    path = source_path(root, source)
-    if not path_exists(spark, path):
+    """One source's days in [start, end]; only those date directories are listed and opened."""
+    schema, out = _with_date(LANDED[source]), None
+    for base, folders in _day_paths(spark, root, source, start, end):
+        df = spark.read.schema(schema).option("basePath", base).parquet(*folders).select(*schema.fieldNames())
+        out = df if out is None else out.unionByName(df)
+    if out is None:
         return spark.createDataFrame([], schema)
-    return _missing_as_null(_between(spark.read.schema(schema).parquet(path), start, end))
+    return _missing_as_null(_between(out, start, end))
 
 
 def scan_bars(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
@@ -96,15 +110,28 @@ def scan_shares(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ticker string, bucket_month date, shares double").parquet(path)
 
 
-def landed_files(spark: SparkSession, root: str, source: str, start=None, end=None) -> DataFrame:
-    """(date, path, length) of every file of a source, empty ones included; contents are not read."""
+def _file_paths(spark: SparkSession, root: str, source: str, start, end) -> list[str]:
+    """Folders (or files) to list for the range, in the own or in the foreign layout."""
     path = source_path(root, source)
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], "date date, path string, length long")
+    foreign = [c for c in children(spark, path) if not c.startswith(("date=", "_", "."))]
+    years = [c for c in foreign if c.startswith("year=") and _within(date(int(c[5:]), 12, 31), start, None) and _within(date(int(c[5:]), 1, 1), None, end)]
+    flat = [c for c in children(spark, path) if c.startswith("date=") and c.endswith(".parquet") and _within(date.fromisoformat(c[5:15]), start, end)]
+    own = [f for base, folders in _day_paths(spark, root, source, start, end) for f in folders if folders != [path]]
+    if not own and not foreign and not flat:
+        own = [f"{path}/date={d}" for d in day_folders(spark, path) if _within(d, start, end)]
+    return [f"{path}/{c}" for c in years + flat] + own
+
+
+def landed_files(spark: SparkSession, root: str, source: str, start=None, end=None) -> DataFrame:
+    """(date, path, length, modified) of every file of a source's days, empty ones included; contents are not read, and
+    folders of days (or years) out of range are not listed."""
+    paths = _file_paths(spark, root, source, start, end)
+    if not paths:
+        return spark.createDataFrame([], "date date, path string, length long, modified timestamp")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").load(path)
-        .select(_date_of(F.col("path")).alias("date"), "path", "length")
+        .option("pathGlobFilter", "*.parquet").load(paths)
+        .select(_date_of(F.col("path")).alias("date"), "path", "length", F.col("modificationTime").alias("modified"))
     )
     return _between(files.filter(F.col("date").isNotNull()), start, end)
 
@@ -159,14 +186,14 @@ def write_empty_day(spark: SparkSession, root: str, source: str, day: date) -> N
 
 
 def ingest_days(incoming: DataFrame, root: str, source: str, force: bool = False) -> dict[str, int]:
-    """Land only the days not landed yet (all of them with `force`); counts of days."""
+    """Land only the days not landed yet (all of them with `force`), all at once; counts of days."""
     spark = incoming.sparkSession
     done = landed_dates(spark, root, source)
     days = incoming.select("date").distinct().join(done.withColumn("known", F.lit(1)), "date", "left")
     known, fresh = days.agg(F.count("known"), F.count_if(F.col("known").isNull())).first()
     todo = incoming if force else incoming.join(F.broadcast(done), "date", "left_anti")  # calendar-sized
     if force or fresh:
-        write_days(todo, root, source)
+        publish_days(todo, root, source)
     return {"landed": fresh + (known if force else 0), "skipped_existing": 0 if force else known}
 
 
@@ -185,11 +212,18 @@ def _columns_of(batches: Iterator) -> Iterator:
         yield pd.DataFrame({"path": pdf["path"], "n_columns": n})
 
 
-def columnless_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of files that hold no columns, as their footers say."""
+FOOTER_BYTES = 1 << 20
+
+
+def columnless_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Paths of files that hold no columns, as their footers say.
+
+    Such a file is its footer and nothing else, so only files of at most FOOTER_BYTES are opened; the length is known
+    from the listing, and larger files are never read.
+    """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths)
+        .filter(F.col("length") <= FOOTER_BYTES).select("path", "content")
     )
     return files.mapInPandas(_columns_of, "path string, n_columns long").filter("n_columns = 0").select("path")
 
@@ -212,10 +246,11 @@ def scan_foreign(spark: SparkSession, root: str, source: str, start=None, end=No
     Files without columns are empty days and skipped. The list of files is one entry per
     day, so it is small enough for the driver.
     """
-    schema = VENDOR[source]
+    schema, paths = VENDOR[source], _file_paths(spark, root, source, start, end)
+    if not paths:
+        return spark.createDataFrame([], _with_date(LANDED[source]))
     files = landed_files(spark, root, source, start, end)
-    good = [r["path"] for r in files.join(
-        columnless_files(spark, source_path(root, source)), "path", "left_anti").select("path").collect()]
+    good = [r["path"] for r in files.join(columnless_files(spark, paths), "path", "left_anti").select("path").collect()]
     if not good:
         return spark.createDataFrame([], _with_date(LANDED[source]))
     df = spark.read.schema(schema).parquet(*good).withColumn("date", _date_of(F.col("_metadata.file_name")))
@@ -243,3 +278,49 @@ def foreign_manifest(spark: SparkSession, root: str, source: str, start=None, en
     return landed_dates(spark, root, source, start, end).join(rows, "date", "left").select(
         F.lit(source).alias("source"), "date", F.coalesce("k", F.lit(0)).alias("row_count")
     )
+
+
+# --- what has changed -------------------------------------------------------------
+
+MARKS = "source string, date date, files_key decimal(38,0), row_count long, content_key decimal(38,0)"
+
+
+def _key_sum(*columns) -> Column:
+    """A sum of row hashes: the same for the same rows in any order, with repeats counted."""
+    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+
+
+def changed_days(spark: SparkSession, root: str, sources, known: DataFrame | None = None) -> DataFrame:
+    """Each landed day with its marks and how it differs from `known` marks: same, new, changed or gone.
+
+    Listings alone show which days have other files than before; only those days' rows are read, and a day whose files
+    were written again with the same rows is the same.
+    """
+    known = spark.createDataFrame([], MARKS) if known is None else known.select(*(c.split(" ")[0] for c in MARKS.split(", ")))
+    listed = None
+    for source in sources:
+        files = landed_files(spark, root, source).groupBy("date").agg(_key_sum("path", "length", "modified").alias("files_key"))
+        one = files.select(F.lit(source).alias("source"), "date", "files_key")
+        listed = one if listed is None else listed.unionByName(one)
+    old = known.select("source", "date", *(F.col(c).alias(f"old_{c}") for c in ("files_key", "row_count", "content_key")))
+    met = listed.join(old, ["source", "date"], "full")
+    stale = met.filter("files_key IS NOT NULL AND NOT files_key <=> old_files_key")
+    days = {s: [r["date"] for r in stale.filter(F.col("source") == s).select("date").collect()] for s in sources}  # calendar days
+    read = None
+    for source, todo in days.items():
+        if todo:
+            rows = scan_landed(spark, root, source, min(todo), max(todo)).filter(F.col("date").isin(todo))
+            one = rows.groupBy("date").agg(F.count(F.lit(1)).alias("row_count"), _key_sum(*LANDED[source].fieldNames()).alias("content_key"))
+            one = one.select(F.lit(source).alias("source"), "date", "row_count", "content_key")
+            read = one if read is None else read.unionByName(one)
+    if read is None:
+        read = spark.createDataFrame([], "source string, date date, row_count long, content_key decimal(38,0)")
+    out = met.join(read, ["source", "date"], "left")
+    stale = F.col("files_key").isNotNull() & ~F.col("files_key").eqNullSafe(F.col("old_files_key"))
+    rows, content = (F.when(stale, F.coalesce(c, F.lit(0))).otherwise(F.col(f"old_{c}")) for c in ("row_count", "content_key"))
+    change = (
+        F.when(F.col("files_key").isNull(), "gone").when(F.col("old_files_key").isNull(), "new")
+        .when(rows.eqNullSafe(F.col("old_row_count")) & content.eqNullSafe(F.col("old_content_key")), "same").otherwise("changed")
+    )
+    return out.select("source", "date", "files_key", rows.cast("long").alias("row_count"), content.cast("decimal(38,0)").alias("content_key"),
+                      change.alias("change"))
