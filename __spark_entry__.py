@@ -20,18 +20,18 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from barlattice import config as cfg  # noqa: E402
-from barlattice.config import DEFAULT, IndexConfig  # noqa: E402
+from barlattice.config import DEFAULT, EngineConfig, IndexConfig  # noqa: E402
 from barlattice.operators import breadth, classify, history, index_health, outcomes, quality, technical, universe  # noqa: E402
 from barlattice.operators.cells import small_cells  # noqa: E402
 from barlattice.plans import panel as P  # noqa: E402
 from barlattice.plans import studies as S  # noqa: E402
-from barlattice.plans.jobs import breadth_sanity, index_sanity  # noqa: E402
+from barlattice.plans.jobs import Engine, breadth_sanity, index_sanity  # noqa: E402
 from barlattice.schemas import FEATURE_COLUMNS, LANDED_REFERENCE, UNIVERSE_COLUMNS, conform  # noqa: E402
 from barlattice.session import drop_staged, joined_by_entity, stage, stage_root, tune  # noqa: E402
 from barlattice.sources import derived, landing  # noqa: E402
 from barlattice.sources.warehouse import Warehouse  # noqa: E402
 from barlattice.streaming.ingest import ingest_stream  # noqa: E402
-from oracles.queries import ORACLES, SMALL_SAMPLE_TABLES  # noqa: E402
+from oracles.queries import CORRECTED_OUTCOMES, ORACLES, SMALL_SAMPLE_TABLES  # noqa: E402
 
 try:  # the corpus operators are an optional subpackage; this is the only place that does without it
     import corpus_pipeline
@@ -53,6 +53,7 @@ def forget() -> None:
     for df in _shared.values():
         drop_staged(df)
     _shared.clear()
+    _engines.clear()
 
 
 class Frames:
@@ -512,6 +513,116 @@ def _landed_with_gaps(f):
     return f._once("gaps", build).first()["root"]
 
 
+def _engine_landed(f) -> str:
+    """The files the stock jobs read: adjusted bars, bars as traded, listings."""
+    root = _fresh(f, "landing")
+    landing.ingest_days(_tidy(derived.scaled(f.raw())), root, "grouped_daily")
+    landing.ingest_days(_tidy(f.raw()), root, "grouped_daily_unadjusted")
+    listed = f.snapshots().withColumn("ticker", F.col("ticker").cast("string"))
+    landing.ingest_days(conform(listed, [*LANDED_REFERENCE.fieldNames(), "date"]), root, "reference_tickers")
+    return root
+
+
+def _index_landed(f) -> str:
+    """The files the index jobs read: adjusted bars with the index's own among them, and the member lists."""
+    root = _fresh(f, "landing")
+    own = derived.index_series(f.raw()).select(
+        "date", F.col("index_id").alias("ticker"), "open", "high", "low", "close", F.lit(None).cast("double").alias("volume"))
+    landing.ingest_days(_tidy(derived.scaled(f.raw())).unionByName(_tidy(own)), root, "grouped_daily")
+    members = derived.index_members(f.raw())
+    landing.ingest_days(
+        members.select(F.col("constituent_ticker").cast("string").alias("constituent_ticker"), "weight", "date"), root, "qqq_constituents")
+    return root
+
+
+def _engine_over(f, root: str) -> tuple[Engine, DataFrame]:
+    """The jobs over landed files, with stock tables built, and the shares they use."""
+    shares = f.shares().withColumn("ticker", F.col("ticker").cast("string"))
+    engine = Engine(f.spark, root, Warehouse(f.spark, _fresh(f, "warehouse")), EngineConfig(index=INDEX))
+    engine.refresh(shares)
+    return engine, shares
+
+
+_engines: dict[tuple, Engine] = {}
+
+
+def _engine(f) -> Engine:
+    """The jobs a user runs, run over landed files once."""
+    key = (f.spark.sparkContext.applicationId, f.sf)
+    if key not in _engines:
+        engine, _ = _engine_over(f, _engine_landed(f))
+        first, last = f.raw().agg(F.min("date"), F.max("date")).first()
+        engine.reference_tickers(first, last)
+        engine.raw_manifest(first, last)
+        index = Engine(f.spark, _index_landed(f), engine.warehouse, engine.conf)
+        index.index_health(first, last, derived.INDEX_ID)
+        index.index_outcomes(first, last)
+        _engines[key] = engine
+    return _engines[key]
+
+
+def _job_table(name, *columns):
+    """A table that a job has stored, as it is read back; tickers are numbers again."""
+    def run(f):
+        df = _engine(f).warehouse.read(name)
+        df = df.withColumn("ticker", F.col("ticker").cast("long")) if "ticker" in df.columns else df
+        return pick(df.withColumns({c: F.col(c).cast("double") for c in _CHG if c in df.columns}), *columns)
+
+    return run
+
+
+def q_job_quality(f):
+    """Every metric of the quality report that the verify job stores."""
+    return rounded(_engine(f).verify()["metrics"])
+
+
+def q_job_lineage(f):
+    """What the lineage of each stored table says of its range."""
+    w, out = _engine(f).warehouse, None
+    for name in ("market_universe_daily", "stock_features_daily", "stock_outcomes_daily", "qqq_health_daily"):
+        one = w.read_lineage(name).select("table", "status", "data_start", "data_end", "source")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_member_gaps(f):
+    """The first five bar dates without a member list, and how many there are, where every ninth week's list is missing."""
+    bars, members = f.raw(), derived.index_members(f.raw())
+    known = members.filter(derived.week_number() % 9 != 4).select("index_id", "date").distinct()
+    return index_health.first_gaps(index_health.membership_gaps(bars.select("date").distinct(), known))
+
+
+def q_range_guards(f):
+    """Which ranges, from the first bar of a year to the last of another, the single-year and the lookback guards take."""
+    years = f.raw().groupBy(F.year("date").alias("y")).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).collect()  # years
+    def taken(check, *span):
+        try:
+            return check(*span) is not None
+        except ValueError:
+            return False
+
+    rows = [(a["lo"], b["hi"], taken(classify.check_single_year, a["lo"], b["hi"]), taken(classify.check_lookback, a["lo"], b["hi"]))
+            for a in years for b in years if a["y"] <= b["y"]]
+    return f.spark.createDataFrame(rows, "start date, end date, single_year boolean, lookback boolean")
+
+
+CORRECTED = date(2000, 6, 5)
+
+
+def q_corrected_day(f):
+    """A day's adjusted bars are corrected after all tables were built: the years it reaches are built again, others stay."""
+    root = _engine_landed(f)
+    engine, shares = _engine_over(f, root)
+    day = landing.scan_landed(f.spark, root, "grouped_daily", CORRECTED, CORRECTED)
+    wrong = F.col("ticker").cast("long") % 3 == 0
+    fixed = day.withColumns({c: F.when(wrong, F.col(c) * 1.5).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
+    landing.ingest_days(stage(fixed, "corrected"), root, "grouped_daily", force=True)
+    engine.refresh(shares)
+    numbered = lambda n: engine.warehouse.read(n).withColumn("ticker", F.col("ticker").cast("long"))
+    features, outs = numbered("stock_features_daily"), numbered("stock_outcomes_daily")
+    return pick(features.join(outs.select(*KEY, *CORRECTED_OUTCOMES), KEY), *FEATURE_COLUMNS, *CORRECTED_OUTCOMES)
+
+
 def q_raw_manifest(f):
     return landing.raw_manifest(f.spark, _landed(f))
 
@@ -743,6 +854,23 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "report_round_trip": q_report_round_trip,
     "ranks_with_gaps": q_ranks_with_gaps,
     "streamed_landing": q_streamed_landing,
+    "job_universe": _job_table("market_universe_daily", *UNIVERSE_COLUMNS),
+    "job_features": _job_table("stock_features_daily", *FEATURE_COLUMNS),
+    "job_outcomes": _job_table("stock_outcomes_daily", *KEY, *outcomes.outcome_columns()),
+    "job_market_breadth": _job_table(
+        "market_breadth_daily", "date", *breadth.cohort_columns(), *breadth.future_breadth_columns(),
+        "eligible_count", *[f"breadth_rs{b}plus_share" for b in (80, 90, 95)]),
+    "job_index_health": _job_table(
+        "qqq_health_daily", "index_id", "date", *_IX_NUM, *_IX_FLAG, *_BREADTH_INT, "rana",
+        *[f"pct_above_{m}" for m in index_health.ABOVE], "high_low_pct", *_OSC, *_CHG, "high_low_oscillator_5d_avg"),
+    "job_index_outcomes": lambda f: rounded(_engine(f).warehouse.read("qqq_health_outcomes_daily")),
+    "job_reference_tickers": _job_table("reference_tickers", *KEY, "type", "primary_exchange"),
+    "job_manifest": _job_table("raw_manifest", "source", "date", "row_count"),
+    "job_quality": q_job_quality,
+    "job_lineage": q_job_lineage,
+    "member_gaps": q_member_gaps,
+    "range_guards": q_range_guards,
+    "corrected_day": q_corrected_day,
     "raw_manifest": q_raw_manifest,
     "candidate_weekdays": q_candidate_weekdays,
     "coverage_gaps": q_coverage_gaps,

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import TICKER, Axis
@@ -75,14 +76,57 @@ def add_emas(
     specs: list[tuple[str, str, int]],
     axis: Axis = TICKER,
     co_located: bool = False,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per (name, source, span): seeded at the first value, alpha = 2 / (span + 1).
 
     A missing value repeats the last average and ages its weight. `co_located` says the
     rows already are partitioned by the entity (a repartition upstream), which saves the
-    exchange; the sort is planned either way and dropped when already there.
+    exchange; the sort is planned either way and dropped when already there. With `state`
+    (see `ema_state`) each entity's averages go on from where an earlier run ended.
     """
+    if state is not None:
+        return _continued(df, specs, axis, co_located, state)
     laid_out = df if co_located else df.repartition(axis.key)
     laid_out = laid_out.sortWithinPartitions(axis.key, axis.time)
     schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType()) for n, _, _ in specs])
     return laid_out.mapInArrow(_streamer(axis.key, specs, schema.fieldNames()), schema)
+
+
+def age_column(source: str) -> str:
+    return f"age_{source}"
+
+
+def ema_state(
+    df: DataFrame, specs: list[tuple[str, str, int]], axis: Axis = TICKER, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()
+) -> DataFrame:
+    """The end state of each entity (within each value of the `by` columns): last time, averages, ages, `carry` columns.
+
+    `df` holds the averages under their names. An age is the number of rows since the source last had a value: a missing
+    value repeats the average but ages its weight, so a later run needs both.
+    """
+    sources = list(dict.fromkeys(src for _, src, _ in specs))
+    first_name = {src: n for n, src, _ in reversed(specs)}
+    seen = lambda s: F.max(F.when(F.col(s).isNotNull(), F.col("_pos"))).over(axis.sofar())
+    aged = df.withColumn("_pos", F.row_number().over(axis.rows())).withColumns({
+        age_column(s): F.when(F.col(first_name[s]).isNull(), 0).otherwise(F.col("_pos") - F.coalesce(seen(s), F.lit(0))).cast("int")
+        for s in sources
+    })
+    last = F.struct(axis.time, *[n for n, _, _ in specs], *[age_column(s) for s in sources], *carry)
+    return aged.groupBy(axis.key, *by).agg(F.max_by(last, axis.time).alias("last")).select(axis.key, *by, "last.*")
+
+
+def _continued(df: DataFrame, specs, axis: Axis, co_located: bool, state: DataFrame) -> DataFrame:
+    """The state goes before an entity's rows as rows of its own: the average as a value, then as many missing ones as its
+    source's age. So the recurrence runs on as if the earlier rows were there, in the same code."""
+    sources = list(dict.fromkeys(src for _, src, _ in specs))
+    oldest = F.greatest(F.lit(0), *[F.col(age_column(s)) for s in sources])
+    seeds = state.select(axis.key, F.explode(F.sequence(F.lit(0), oldest)).alias("_k"), oldest.alias("_oldest"), "*")
+    seeds = seeds.select(
+        state[axis.key], F.date_add(F.lit("0001-01-01").cast("date"), F.col("_k")).alias(axis.time),
+        *[F.when(F.col("_k") == F.col("_oldest") - F.col(age_column(src)), F.col(n)).alias(f"_in_{n}") for n, src, _ in specs],
+        F.lit(True).alias("_seed"))
+    rows = df.withColumns({f"_in_{n}": F.col(src).cast("double") for n, src, _ in specs} | {"_seed": F.lit(False)})
+    both = rows.unionByName(seeds, allowMissingColumns=True)
+    out = add_emas(both, [(n, f"_in_{n}", span) for n, _, span in specs], axis)
+    return out.filter(~F.col("_seed")).drop("_seed", *[f"_in_{n}" for n, _, _ in specs])

@@ -5,7 +5,7 @@ Every series is keyed (index_id, date), so several indexes run side by side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, IndexConfig, OutcomeConfig
@@ -20,6 +20,23 @@ class MembershipUnavailable(RuntimeError):
     """A bar date has no member list of its own; another day's list is never used instead."""
 
 
+def membership_gaps(bar_dates: DataFrame, snapshot_dates: DataFrame) -> DataFrame:
+    """(index_id, date) of the bar dates without a member list; at most one row per calendar day and index."""
+    wanted = bar_dates.select(F.collect_set("date").alias("d")).scalar()
+    return (
+        snapshot_dates.groupBy("index_id").agg(F.collect_set("date").alias("have"))
+        .select("index_id", F.explode(F.array_except(wanted, F.col("have"))).alias("date"))
+    )
+
+
+def first_gaps(gaps: DataFrame, examples: int = 5) -> DataFrame:
+    """place, index_id, date of the first gaps, and the number of all."""
+    total = gaps.agg(F.count(F.lit(1)).alias("n_missing"))
+    first = gaps.orderBy("date", "index_id").limit(examples)
+    place = F.row_number().over(Window.orderBy("date", "index_id"))  # a handful of rows
+    return first.withColumn("place", place).join(F.broadcast(total))
+
+
 def checked_members(
     bar_dates: DataFrame, snapshot_dates: DataFrame, members: DataFrame, conf: IndexConfig = DEFAULT.index
 ) -> DataFrame:
@@ -29,15 +46,10 @@ def checked_members(
     whose file is present but empty. Both are at most one row per calendar day and index,
     so the days of one index fit in an array.
     """
-    wanted = bar_dates.select(F.collect_set("date").alias("d")).scalar()
-    gaps = (
-        snapshot_dates.groupBy("index_id").agg(F.collect_set("date").alias("have"))
-        .select("index_id", F.explode(F.array_except(wanted, F.col("have"))).alias("date"))
-    )
-    n_missing = gaps.count()
-    if n_missing:
-        first = [f"{r['index_id']}:{r['date']}" for r in gaps.orderBy("date", "index_id").limit(5).collect()]
-        raise MembershipUnavailable(f"{n_missing} date(s) without a member list, e.g. {first}")
+    first = first_gaps(membership_gaps(bar_dates, snapshot_dates)).orderBy("place").collect()
+    if first:
+        named = [f"{r['index_id']}:{r['date']}" for r in first]
+        raise MembershipUnavailable(f"{first[0]['n_missing']} date(s) without a member list, e.g. {named}")
     solid = members.groupBy("index_id", "date").agg(F.count(F.lit(1)).alias("k")).filter(
         F.col("k") >= conf.min_components
     )

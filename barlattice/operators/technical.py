@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
@@ -85,6 +85,23 @@ def add_sma50_persistence(df: DataFrame, axis: Axis = TICKER) -> DataFrame:
     ).drop("_valid", "_above", "_pos", "_start")
 
 
+def carry_persistence(df: DataFrame, first, before: str, axis: Axis = TICKER) -> DataFrame:
+    """Run lengths of rows from `first` on, where the rows before it are only a lookback and a run may have begun earlier.
+
+    `before` is a column with the entity's true run length at its last row before `first`. Rows that go on the run of that
+    row get what it was counted short; NULL (no earlier row) changes nothing.
+    """
+    value, start = F.col("sma50_persistence_days"), F.lit(first)
+    out = df.withColumn("_pos", F.row_number().over(axis.rows()))
+    edge = F.max(F.when(F.col(axis.time) < start, F.struct("_pos", "sma50_persistence_days"))).over(Window.partitionBy(axis.key))
+    out = out.withColumn("_edge", edge)
+    counted = F.col("_edge.sma50_persistence_days")
+    same_run = (F.col(axis.time) >= start) & (value == counted + F.signum(counted) * (F.col("_pos") - F.col("_edge._pos")))
+    return out.withColumn(
+        "sma50_persistence_days", F.when(same_run & F.col(before).isNotNull(), value + F.col(before) - counted).otherwise(value)
+    ).drop("_pos", "_edge")
+
+
 def add_atr_extension(df: DataFrame) -> DataFrame:
     """Gain over SMA50 measured in ATR percents; non-finite becomes missing."""
     out = df.withColumn("gain_from_sma50_pct", pct_gap("close", "sma50"))
@@ -102,13 +119,13 @@ def thrust_emas(source: str = "return_1d") -> list[tuple[str, str, int]]:
     return [(f"_ema_{source}_{s}", source, s) for s in spans]
 
 
-def thrust_columns(df: DataFrame, source: str = "return_1d") -> DataFrame:
-    """Short minus long EMA of the daily return, from EMAs already on the rows."""
+def thrust_columns(df: DataFrame, source: str = "return_1d", keep: bool = False) -> DataFrame:
+    """Short minus long EMA of the daily return, from EMAs already on the rows (which go, unless `keep`)."""
     out = df.withColumns({
         name: F.col(f"_ema_{source}_{short}") - F.col(f"_ema_{source}_{long}")
         for name, (short, long) in cfg.THRUST_SPANS.items()
     })
-    return out.drop(*[n for n, _, _ in thrust_emas(source)])
+    return out if keep else out.drop(*[n for n, _, _ in thrust_emas(source)])
 
 
 def add_thrust(df: DataFrame, axis: Axis = TICKER, co_located: bool = False) -> DataFrame:

@@ -12,12 +12,13 @@ from ..config import DEFAULT, EngineConfig
 from ..operators import breadth, index_health, quality
 from ..operators.classify import check_lookback, check_single_year, eligible_only
 from ..operators.outcomes import stock_outcomes
-from ..operators.universe import market_universe
+from ..operators.universe import with_unadjusted_close
 from ..session import joined_by_entity, stage
 from ..sources import landing
 from ..sources.warehouse import Warehouse
+from . import refresh as R
 from . import studies
-from .panel import build_features, features_table, study_rows, year_rows
+from .panel import build_features, build_universe, features_table, panel_state, study_rows, year_rows
 
 
 @dataclass
@@ -30,9 +31,9 @@ class Engine:
     conf: EngineConfig = DEFAULT
     commit: str = "unknown"
 
-    def _store(self, table: str, df: DataFrame, start: date, end: date, source: str) -> DataFrame:
+    def _store(self, table: str, df: DataFrame, start: date, end: date, source: str, years=None) -> DataFrame:
         """Write the table; its lineage records the range of the stored rows (the asked one if there are none)."""
-        self.warehouse.write(table, df)
+        self.warehouse.write(table, df, years=years)
         stored = self.warehouse.read(table)
         first, last = stored.agg(F.min("date"), F.max("date")).first()
         self.warehouse.write_lineage(table, first or start, last or end, source, self.commit)
@@ -60,10 +61,15 @@ class Engine:
         for what, df in (("adjusted", bars), ("unadjusted", unadjusted)):
             if df.isEmpty():
                 raise RuntimeError(f"no landed {what} bars in {start}..{end}")
-        df = market_universe(
-            bars, unadjusted, landing.scan_reference(self.spark, self.landed, start, end), shares, self.conf.universe
-        )
-        return self._store("market_universe_daily", df, start, end, "grouped_daily+reference_tickers+shares")
+        return self._store_universe(bars, unadjusted, shares, start, end)
+
+    def _store_universe(self, bars, unadjusted, shares, start: date, end: date, years=None) -> DataFrame:
+        """Bars may begin with a lookback before `start`; only rows from `start` on are stored."""
+        listed = landing.scan_reference(self.spark, self.landed, start, end)
+        with joined_by_entity(self.spark):  # one ticker layout for all four inputs
+            laid_out = with_unadjusted_close(bars.repartition("ticker"), unadjusted.repartition("ticker").hint("merge"))
+            df = stage(build_universe(laid_out, listed, shares, self.conf), "universe").filter(F.col("date") >= F.lit(start))
+        return self._store("market_universe_daily", df, start, end, "grouped_daily+reference_tickers+shares", years)
 
     # B4
     def features(self, start: date, end: date) -> DataFrame:
@@ -71,9 +77,15 @@ class Engine:
         bars = landing.scan_bars(self.spark, self.landed, start, end)
         if universe.isEmpty() or bars.isEmpty():
             raise RuntimeError("features need landed bars and a built universe table")
+        return self._store_features(bars, universe, start, end)
+
+    def _store_features(self, bars, universe, start: date, end: date, first=None, state=None, years=None) -> DataFrame:
+        """The table and the end state of each of its years; with `state`, rows from `first` on that continue it."""
         with joined_by_entity(self.spark):
-            panel = stage(build_features(bars, universe), "features")
-        return self._store("stock_features_daily", features_table(panel), start, end, "grouped_daily+universe")
+            panel = stage(build_features(bars, universe, first=first, state=state), "features")
+        out = self._store("stock_features_daily", features_table(panel), start, end, "grouped_daily+universe", years)
+        self.warehouse.write_state("feature_state", panel_state(panel), by_year=True)
+        return out
 
     # B5
     def outcomes(self, start: date, end: date) -> DataFrame:
@@ -82,13 +94,77 @@ class Engine:
 
     # B6
     def market_breadth(self, start: date, end: date) -> DataFrame:
-        # Breadth looks at eligible rows only; a row without outcomes stays in its cohort.
-        eligible = eligible_only(self._table("stock_features_daily")).select(
+        return self._store("market_breadth_daily", self._breadth(), start, end, "stock_features_daily+stock_outcomes_daily")
+
+    def _breadth(self, years=None) -> DataFrame:
+        """Breadth looks at eligible rows only; a row without outcomes stays in its cohort."""
+        eligible = eligible_only(self._table("stock_features_daily", years)).select(
             "date", "ticker", "eligible", self.conf.breadth.rs_column
         )
-        rows = eligible.join(self._table("stock_outcomes_daily"), ["date", "ticker"], "left")
-        df = breadth.market_breadth(stage(rows, "breadth"), self.conf.breadth)
-        return self._store("market_breadth_daily", df, start, end, "stock_features_daily+stock_outcomes_daily")
+        rows = eligible.join(self._table("stock_outcomes_daily", years), ["date", "ticker"], "left")
+        return breadth.market_breadth(stage(rows, "breadth"), self.conf.breadth)
+
+    # B3 - B6 again, for late and corrected days
+    def refresh(self, shares: DataFrame) -> dict[str, list[int]]:
+        """Bring the stored tables up to the landed days; the years rebuilt, by table ({} when no day has changed).
+
+        The first run builds all. Later ones find the days whose rows differ from those of the last run and rebuild the
+        years these reach (see `refresh`); files of other years are left alone. Marks of the days are kept last, so a
+        run that breaks off is done again. A change of `shares` alone isn't seen.
+        """
+        sources = ("grouped_daily", "grouped_daily_unadjusted", "reference_tickers")
+        marks = stage(landing.changed_days(self.spark, self.landed, sources, self.warehouse.read_state("day_marks")), "marks")
+        first, last = marks.filter("change <> 'same'").agg(F.min("date"), F.max("date")).first()
+        built = {} if first is None else self._rebuild(first, last, shares)
+        self.warehouse.write_state("day_marks", marks.filter("change <> 'gone'").drop("change"))
+        return built
+
+    def _rebuild(self, first: date, last: date, shares: DataFrame) -> dict[str, list[int]]:
+        back = R.lookback_rows(self.conf)
+        all_bars = landing.scan_bars(self.spark, self.landed)
+        keys = stage(all_bars.select("ticker", "date"), "keys")
+        lo, hi = keys.agg(F.min("date"), F.max("date")).first()
+        if lo is None:
+            raise RuntimeError("no landed bars are left")
+        breadth_table, states = self.warehouse.read("market_breadth_daily"), self.warehouse.read_state("feature_state")
+        todo = R.plan(keys, breadth_table, first, last, self.conf)
+        new_year, year_end = (lambda y: date(y, 1, 1)), (lambda y: date(y, 12, 31))
+
+        def bars_of(years: range, scan=landing.scan_bars) -> DataFrame:
+            """Bars of the years with the lookback of their tickers."""
+            since, _ = R.reach(keys, new_year(years[0]), year_end(years[-1]), back, 0)
+            bars = scan(self.spark, self.landed, since, year_end(years[-1]))
+            return R.around(bars, new_year(years[0]), year_end(years[-1]), back, 0)
+
+        years = todo.universe
+        unadjusted = landing.scan_unadjusted(self.spark, self.landed, new_year(years[0]), year_end(years[-1]))
+        self._store_universe(bars_of(years), unadjusted, shares, new_year(years[0]), year_end(years[-1]), years)
+        built = {"market_universe_daily": list(years), "stock_features_daily": []}
+
+        years = todo.features if states is not None else range(lo.year, todo.features[-1] + 1)  # without states, from the start
+        while True:
+            before = R.state_before(states, years[0])
+            before = before if before is None else stage(before, "state")
+            old = None if states is None else stage(states.filter(F.col("year") == years[-1]), "state")
+            universe = self._table("market_universe_daily", years)
+            self._store_features(bars_of(years), universe, new_year(years[0]), year_end(years[-1]), new_year(years[0]), before, years)
+            built["stock_features_daily"] += list(years)
+            states = self.warehouse.read_state("feature_state")
+            if years[-1] >= hi.year or (old is not None and R.same_state(old, states, years[-1])):
+                break
+            years = range(years[-1] + 1, years[-1] + 2)
+
+        years = todo.outcomes
+        rows = self._table("stock_features_daily").select("date", "ticker", "close", "high", "low", "atr14")
+        near = R.around(rows, new_year(years[0]), year_end(years[-1]), self.conf.outcomes.new_high_lookback, max(self.conf.outcomes.horizons))
+        df = stock_outcomes(near, self.conf.outcomes).filter(F.year("date").between(years[0], years[-1]))
+        self._store("stock_outcomes_daily", df, new_year(years[0]), year_end(years[-1]), "stock_features_daily", years)
+        built["stock_outcomes_daily"] = list(years)
+
+        years = range(todo.breadth_from, built["stock_features_daily"][-1] + 1)
+        df = self._breadth(range(years[0], hi.year + 1)).filter(F.year("date") <= years[-1])
+        self._store("market_breadth_daily", df, new_year(years[0]), year_end(years[-1]), "stock_features_daily+stock_outcomes_daily", years)
+        return built | {"market_breadth_daily": list(years)}
 
     # B7
     def index_health(self, start: date, end: date, index_id: str = "QQQ") -> DataFrame | None:

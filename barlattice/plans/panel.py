@@ -21,26 +21,37 @@ from ..operators.technical import (
     add_sma,
     add_sma50_persistence,
     add_sma50_slope,
-    add_ticker_features,
+    carry_persistence,
     thrust_columns,
     thrust_emas,
 )
-from ..operators.ema import add_emas
+from ..operators.ema import add_emas, ema_state
 from ..operators.universe import add_gates, asset_type_ok, with_asset_type, with_shares
 from ..schemas import FEATURE_COLUMNS, UNIVERSE_COLUMNS, conform, require_columns
 
 RANK_SOURCES = {**cfg.RS_SOURCES, **cfg.THRUST_SOURCES}
 
 
-def with_emas_first(bars: DataFrame, axis: Axis = TICKER) -> DataFrame:
+PANEL_EMAS = [("ema10", "close", 10), ("ema20", "close", 20)] + thrust_emas()
+
+
+def with_emas_first(bars: DataFrame, axis: Axis = TICKER, first=None, state: DataFrame | None = None) -> DataFrame:
     """Bars with the EMAs the panel needs, laid out by ticker again.
 
     The Arrow pass is the one step outside generated code and ends the known layout, so it runs on the bars' few
-    columns; a second exchange of narrow rows costs less than taking the whole panel through Python.
+    columns; a second exchange of narrow rows costs less than taking the whole panel through Python. With `first` and
+    `state` only rows from `first` on get averages, which go on from the state; the rows before are a lookback.
     """
-    emas = [("ema10", "close", 10), ("ema20", "close", 20)] + thrust_emas()
     narrow = add_returns(bars.repartition(axis.key), axis, {"return_1d": 1})
-    return add_emas(narrow, emas, axis, co_located=True).repartition(axis.key)
+    if state is None:
+        return add_emas(narrow, PANEL_EMAS, axis, co_located=True).repartition(axis.key)
+    now = add_emas(narrow.filter(F.col(axis.time) >= F.lit(first)), PANEL_EMAS, axis, state=state)
+    return now.unionByName(narrow.filter(F.col(axis.time) < F.lit(first)), allowMissingColumns=True).repartition(axis.key)
+
+
+def panel_state(panel: DataFrame, axis: Axis = TICKER) -> DataFrame:
+    """What a later run needs to go on: each ticker's averages, their ages and its SMA50 run at its last row of each year."""
+    return ema_state(panel.withColumn("year", F.year(axis.time)), PANEL_EMAS, axis, ("sma50_persistence_days",), ("year",))
 
 
 def build_universe(
@@ -89,17 +100,31 @@ def build_panel(
     return thrust_columns(add_ema_distances(df))
 
 
-def build_features(bars: DataFrame, universe: DataFrame, axis: Axis = TICKER) -> DataFrame:
-    """Features from bars and a stored universe table; ranks still missing.
+def build_features(
+    bars: DataFrame, universe: DataFrame, axis: Axis = TICKER, first=None, state: DataFrame | None = None
+) -> DataFrame:
+    """Features from bars and a stored universe table; ranks still missing. The averages behind the thrusts are kept.
 
     A row without a universe entry is not eligible. The universe is merged on the ticker
-    layout before the windows, so stage this under `joined_by_entity`.
+    layout before the windows, so stage this under `joined_by_entity`. With `first` and `state` (one row a ticker, see
+    `panel_state`) only rows from `first` on come out; bars and universe then need only a lookback before it.
     """
     require_columns(universe, ["date", "ticker", "eligible", "market_cap", "adr20"], "market_universe_daily")
-    keep = universe.select("date", "ticker", "eligible", "market_cap", F.col("adr20").alias("_adr"))
-    df = bars.repartition(axis.key).join(keep.hint("merge"), [axis.key, axis.time], "left")
+    keep = universe.select("date", "ticker", "eligible", "market_cap", "adr20")
+    df = with_emas_first(bars, axis, first, state).join(keep.hint("merge"), [axis.key, axis.time], "left")
     df = df.withColumn("eligible", F.coalesce("eligible", F.lit(False)))
-    return add_ticker_features(df, axis, co_located=True).withColumn("adr20", F.col("_adr")).drop("_adr")
+    df = add_returns(df, axis)
+    df = add_atr(df, axis).drop("true_range")
+    df = add_sma(df, {"sma50": 50}, axis)
+    df = add_sma50_slope(df, axis)
+    df = add_sma50_persistence(df, axis)
+    if state is not None:
+        runs = state.select(axis.key, F.col("sma50_persistence_days").alias("_before"))
+        df = carry_persistence(df.join(runs.hint("merge"), axis.key, "left"), first, "_before", axis).drop("_before")
+        df = add_atr_extension(df).drop("gain_from_sma50_pct").filter(F.col(axis.time) >= F.lit(first))
+    else:
+        df = add_atr_extension(df).drop("gain_from_sma50_pct")
+    return thrust_columns(add_ema_distances(df), keep=True)
 
 
 def panel_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PROCESSED_TABLES
-from .landing import path_exists
+from .batches import children, path_exists, remove_path
 
 LINEAGE = (
     "table string, status string, build_timestamp_utc string, data_start string, data_end string, "
@@ -27,8 +27,8 @@ class Warehouse:
             raise KeyError(f"unknown table {table!r}; known: {list(PROCESSED_TABLES)}")
         return f"{self.root}/{table}"
 
-    def write(self, table: str, df: DataFrame, cluster_by: str = "ticker") -> None:
-        """Replace the years that occur in `df` and no others.
+    def write(self, table: str, df: DataFrame, cluster_by: str = "ticker", years=None) -> None:
+        """Replace the years that occur in `df` and no others; of the given `years`, those without rows go.
 
         Rows are rebalanced by year and a hash of the ticker and sorted inside files:
         per-ticker reads skip row groups, large pieces are split by size, small ones merged.
@@ -45,6 +45,12 @@ class Warehouse:
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("year").parquet(f"{self.path(table)}/data")
         )
+        if years is not None:
+            stored = self.spark.read.parquet(f"{self.path(table)}/data").filter(F.col("year").isin([int(y) for y in years]))
+            filled = {r["year"] for r in stored.select("year").distinct().collect()} & {r["year"] for r in df.select(F.year("date").alias("year")).distinct().collect()}
+            for name in children(self.spark, f"{self.path(table)}/data"):
+                if name.startswith("year=") and int(name[5:]) in set(years) - filled:
+                    remove_path(self.spark, f"{self.path(table)}/data/{name}")
 
     def read(self, table: str, years=None) -> DataFrame | None:
         """The table, or only some of its year directories; None when it was never built."""
@@ -56,6 +62,17 @@ class Warehouse:
             df = df.filter(F.col("year").isin(*[int(y) for y in years]))
         return df.drop("year")
 
+    def write_state(self, name: str, df: DataFrame, by_year: bool = False) -> None:
+        """Keep what a later run goes on from: the years in `df` (by_year), or all of it, in place of what was kept."""
+        out = df.write.mode("overwrite")
+        if by_year:
+            out = out.option("partitionOverwriteMode", "dynamic").partitionBy("year")
+        out.parquet(f"{self.root}/_state/{name}")
+
+    def read_state(self, name: str) -> DataFrame | None:
+        path = f"{self.root}/_state/{name}"
+        return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
+
     def write_lineage(
         self, table: str, start: date, end: date, source: str, commit: str = "unknown",
         config_version: int = 1, definition_version: str = "v1", error: str | None = None,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sql import (
-    ALL_OUTCOMES, CHG_COLS, COHORT, CROSS, DECILES, DFINE, DIST, EXT, FINE, FUTURE, H, HISTORY, HV, IX_FLAG, IX_NUM,
+    ALL_OUTCOMES, CHG_COLS, COHORT, CROSS, CTES, DECILES, DFINE, DIST, EXT, FINE, FUTURE, H, HISTORY, HV, IX_FLAG, IX_NUM,
     IXO, MAS, MB_INT, MB_NUM, MROUND, MSQL, PREV, RETURNS, RS, STATE_RS, THRUST, baseline, bucket,
     outcome_names, query, r, rr, state_case, values,
 )
@@ -393,4 +393,40 @@ SELECT d, CASE WHEN d BETWEEN DATE '2023-01-01' AND DATE '2024-12-31' THEN 'fitt
  WHEN d >= DATE '2026-01-01' THEN 'out_of_sample' END AS split
 FROM (SELECT CAST(date + INTERVAL 336 MONTH AS DATE) AS d FROM bars)) GROUP BY split"""
 
+# --- the jobs, as they store their tables
+for job, same in {"universe": "universe_daily", "features": "features_daily", "outcomes": "outcomes_daily", "market_breadth": "market_breadth_daily",
+                  "index_health": "index_health_daily", "index_outcomes": "index_outcomes_daily", "reference_tickers": "reference_scan_whole"}.items():
+    Q[f"job_{job}"] = Q[same]
+Q["job_manifest"] = f"""SELECT s.source, date, count(*) AS row_count FROM bars,
+{values('source', ('grouped_daily', 'grouped_daily_unadjusted'))} s GROUP BY ALL
+UNION ALL SELECT 'reference_tickers', date, count(*) FROM refs GROUP BY date"""
+BY_NAME = "ORDER BY ticker::VARCHAR LIMIT"  # landed tickers are strings
+Q["job_quality"] = "\nUNION ALL\n".join([
+    Q["universe_quality"].replace("ORDER BY ticker LIMIT", BY_NAME), Q["cap_sensitivity"].replace("ORDER BY ticker LIMIT", BY_NAME), Q["index_status"],
+    metric_rows("features", [("stock_feature_rows", NOKEY, "count(*)")]), metric_rows("outcomes", [("stock_outcome_rows", NOKEY, "count(*)")]),
+    metric_rows("(SELECT i.date FROM ix i JOIN osc o ON i.index_id = o.index_id AND i.date = o.date)", [
+        ("qqq_health_rows", NOKEY, "count(*)"), ("qqq_health_available", NOKEY, "(count(*) > 0)::INT")]),
+    metric_rows("ixo", [("qqq_health_outcome_rows", NOKEY, "count(*)")]),
+])
+Q["job_lineage"] = "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS "table", 'available' AS status, {LINEAGE}, '{source}' AS source FROM {rows}"""
+    for t, source, rows in (
+        ("market_universe_daily", "grouped_daily+reference_tickers+shares", "universe"), ("stock_features_daily", "grouped_daily+universe", "features"),
+        ("stock_outcomes_daily", "stock_features_daily", "outcomes"),
+        ("qqq_health_daily", "grouped_daily+qqq_constituents", "(SELECT i.date FROM ix i JOIN osc o ON i.index_id = o.index_id AND i.date = o.date)")))
+Q["member_gaps"] = f"""SELECT 'IDX' AS index_id, date, row_number() OVER (ORDER BY date)::INT AS place, n AS n_missing
+FROM (SELECT date, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars WHERE date NOT IN (
+  SELECT date FROM {RAW_MEMBERS} WHERE ({WK}) % 9 <> 4))) ORDER BY date LIMIT 5"""
+Q["range_guards"] = """SELECT a.lo AS start, b.hi AS "end", a.y = b.y AS single_year, a.y < b.y AS lookback
+FROM (SELECT year(date) AS y, min(date) AS lo FROM bars GROUP BY 1) a JOIN (SELECT year(date) AS y, max(date) AS hi FROM bars GROUP BY 1) b ON a.y <= b.y"""
+
 ORACLES = {name: query(sql) for name, sql in Q.items()}
+
+# --- the whole panel after a day's bars were corrected
+CORRECTED_OUTCOMES = ("mfe_pct_20d", "mae_pct_20d", "new_20d_high_within_window_20d", "reached_plus_5_before_minus_5_20d", "forward_return_close_5d")
+CORRECTED_BARS = CTES["adj"].replace(
+    "THEN 2048::DOUBLE ELSE 1::DOUBLE END AS f",
+    "THEN 2048::DOUBLE ELSE 1::DOUBLE END * CASE WHEN date = DATE '2000-06-05' AND ticker % 3 = 0 THEN 1.5::DOUBLE ELSE 1::DOUBLE END AS f")
+ORACLES["corrected_day"] = query(
+    f"SELECT f.date, f.ticker, f.eligible, {rr(*FEATURES, src='f')}, {rr(*CORRECTED_OUTCOMES, src='o')} "
+    "FROM features f JOIN outcomes o ON o.date = f.date AND o.ticker = f.ticker", adj=CORRECTED_BARS)

@@ -540,13 +540,14 @@ def _uses(sql: str) -> set[str]:
     }
 
 
-def query(select: str) -> str:
-    """Prefix a SELECT with the expressions it needs, in definition order."""
+def query(select: str, **other: str) -> str:
+    """Prefix a SELECT with the expressions it needs, in definition order; `other` ones replace those of their name."""
+    ctes = CTES | other
     need, todo = set(), _uses(select)
     while todo:
         name = todo.pop()
         if name not in need:
             need.add(name)
-            todo |= _uses(CTES[name]) - need
-    parts = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in need]
+            todo |= _uses(ctes[name]) - need
+    parts = [f"{n} AS ({ctes[n].strip()})" for n in ctes if n in need]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + select
