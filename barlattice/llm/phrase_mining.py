@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from barlattice.llm.common import own_names, staged, table
 from barlattice.llm.textbytes import mixed
 
-GROUP_SUFFIXES = 2_000_000
+GROUP_SUFFIXES = 1_000_000
 MAX_PREFIXES = 1 << 20  # extended prefixes of a level: each is more than this share of all words, so there are never more
-CHUNK_WORDS, CHUNK_ENTRIES = 1 << 21, 500_000
+CHUNK_WORDS, CHUNK_ENTRIES = 1 << 20, 250_000
 _BREAK = b"\xff"  # no byte of UTF-8: ends a piece
 _TABLE = bytearray(range(256))
 for _c in range(65, 91):
