@@ -422,6 +422,16 @@ FROM (SELECT year(date) AS y, min(date) AS lo FROM bars GROUP BY 1) a JOIN (SELE
 
 ORACLES = {name: query(sql) for name, sql in Q.items()}
 
+# The job's outcomes run over the rows of the health table, which has only days with members.
+_HELD = "(SELECT *, row_number() OVER (ORDER BY date) AS held FROM {0} WHERE date IN (SELECT date FROM osc))"
+_OUTCOMES_OF_HELD = {
+    "ixo1": CTES["ixo1"].replace("FROM ix ", f"FROM {_HELD.format('ix')} ix "),
+    "ixpath": CTES["ixpath"].replace("FROM idx a JOIN idx b", f"FROM {_HELD.format('idx')} a JOIN {_HELD.format('idx')} b")
+    .replace("b.rn - a.rn", "b.held - a.held").replace("ORDER BY b.rn", "ORDER BY b.held").replace("b.rn BETWEEN a.rn + 1 AND a.rn + 20", "b.held BETWEEN a.held + 1 AND a.held + 20"),
+}
+for job in ("job_index_outcomes", "job_quality"):
+    ORACLES[job] = query(Q[job], **_OUTCOMES_OF_HELD)
+
 # --- the whole panel after a day's bars were corrected
 CORRECTED_OUTCOMES = ("mfe_pct_20d", "mae_pct_20d", "new_20d_high_within_window_20d", "reached_plus_5_before_minus_5_20d", "forward_return_close_5d")
 CORRECTED_BARS = CTES["adj"].replace(
