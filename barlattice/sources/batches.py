@@ -66,6 +66,24 @@ def live_days(spark: SparkSession, root: str, source: str) -> dict[date, str]:
     return {r["date"]: r["top"]["batch"] for r in last.collect()}
 
 
+def live_folders(spark: SparkSession, root: str, source: str, within) -> tuple[dict[date, str], list[str]]:
+    """The live days, and the folders that hold those for which `within(day)` holds: a batch that counts as a whole is
+    one folder, of others each day is."""
+    live, base = live_days(spark, root, source), batches_path(root, source)
+    if not live:
+        return live, []
+    size = {r["batch"]: r["n"] for r in _records(spark, root, source).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mine: dict[str, list[date]] = {}
+    for day, batch in live.items():
+        if within(day):
+            mine.setdefault(batch, []).append(day)
+    folders = []
+    for batch, days in sorted(mine.items()):
+        whole = len(days) == size[batch]
+        folders += [f"{base}/batch={batch}"] if whole else [f"{base}/batch={batch}/date={d}" for d in sorted(days)]
+    return live, folders
+
+
 def write_batch(df: DataFrame, root: str, source: str) -> str:
     """Write the rows' days as a batch that no scan sees yet; a day with a large part of all rows is split by size."""
     batch = uuid.uuid4().hex[:16]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import RAW_SOURCES
 from ..schemas import BAR_COLUMNS, LANDED, REFERENCE_COLUMNS, VENDOR, VENDOR_RENAMES, conform
-from .batches import batches_path, children, day_folders, live_days, path_exists, publish_days, remove_path
+from .batches import batches_path, children, day_folders, live_folders, path_exists, publish_days, remove_path
 
 _DATE_IN_PATH = r"date=(\d{4}-\d{2}-\d{2})"
 
@@ -59,17 +59,15 @@ def _day_paths(spark: SparkSession, root: str, source: str, start, end) -> list[
     and without bounds is read as a whole.
     """
     path, out = source_path(root, source), []
-    live = live_days(spark, root, source)
+    live, folders = live_folders(spark, root, source, lambda d: _within(d, start, end))
     if path_exists(spark, path):
         if start is None and end is None and not live:
             return [(path, [path])]
         days = [d for d in day_folders(spark, path) if _within(d, start, end) and d not in live]
         if days:
             out.append((path, [f"{path}/date={d}" for d in days]))
-    days = {d: b for d, b in live.items() if _within(d, start, end)}
-    if days:
-        base = batches_path(root, source)
-        out.append((base, [f"{base}/batch={b}/date={d}" for d, b in sorted(days.items())]))
+    if folders:
+        out.append((batches_path(root, source), folders))
     return out
 
 
