@@ -54,6 +54,7 @@ def forget() -> None:
         drop_staged(df)
     _shared.clear()
     _engines.clear()
+    _tables.clear()
 
 
 class Frames:
@@ -338,16 +339,27 @@ def _table(study, name):
     return lambda f: rounded(study(f)[name])
 
 
+_tables: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _study(f, name, build) -> dict[str, DataFrame]:
+    """The tables of a study: views of statistics that are computed and staged once."""
+    key = (f.spark.sparkContext.applicationId, f.sf, name)
+    if key not in _tables:
+        _tables[key] = build()
+    return _tables[key]
+
+
 def _atr(f):
-    return S.rs_atr_study(f.rows())
+    return _study(f, "atr", lambda: S.rs_atr_study(f.rows()))
 
 
 def _opp(f):
-    return S.opportunity_study(f.year())
+    return _study(f, "opportunity", lambda: S.opportunity_study(f.year()))
 
 
 def _states(f):
-    return S.candidate_states(f.year())
+    return _study(f, "states", lambda: S.candidate_states(f.year()))
 
 
 def q_rs_atr_small_cells(f):

@@ -3,7 +3,8 @@
 A study is a fixed list of cells known before any data is read: (table, fixed labels,
 bucket labels). A row is turned into the ids of all cells it counts in (cell, marginal,
 universe, cohort ...), so every table of a study comes out of one aggregation, and empty
-cells stay visible because the list of cells, not the data, decides the rows.
+cells stay visible because the list of cells, not the data, decides the rows. Rows are
+aggregated by their list of ids, and those few aggregates are added up to cells.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class CellSpace:
     """All cells of a study, numbered on the driver (hundreds, never data-sized)."""
 
     rows: list[dict] = field(default_factory=list)
-    exprs: list[Column] = field(default_factory=list)
+    families: dict[str, list[Column]] = field(default_factory=dict)
     index: dict = field(default_factory=dict)
 
     def add(self, table: str, fixed: dict | None = None, dims: list[Dim] = (), where: Column | None = None) -> None:
@@ -76,7 +77,8 @@ class CellSpace:
             code = code + offset  # NULL when any bucket is NULL: the row is in no such cell
         if where is not None:
             code = F.when(where, code)
-        self.exprs.append(code.cast("int"))
+        # Cells of different RS horizons are independent: together they would make far more lists than each alone.
+        self.families.setdefault(fixed.get("rs_horizon", ""), []).append(code.cast("int"))
 
     @staticmethod
     def _key(table: str, labels: dict):
@@ -86,8 +88,9 @@ class CellSpace:
         return self.index.get(self._key(table, labels))
 
     def ids(self) -> Column:
-        """Array of the ids of all cells the row counts in."""
-        return F.array_compact(F.array(*self.exprs))
+        """The ids of all cells the row counts in, as one list for each family of cells that has any."""
+        lists = F.array(*[F.array_compact(F.array(*exprs)) for exprs in self.families.values()])
+        return F.filter(lists, lambda x: F.size(x) > 0)
 
     def frame(self, spark: SparkSession, tables, columns: dict[str, str], extra: dict | None = None) -> DataFrame:
         """The cells of some tables as rows: cell_id, the label columns, and computed id columns.
@@ -121,9 +124,10 @@ def bucket_stats(rows: DataFrame, space: CellSpace, horizons, extra_medians: dic
     horizons = tuple(horizons)
     extra = dict(extra_medians or {})
     means = {
-        f"{m}__{h}": F.avg(stem.format(h=h))
+        f"{m}__{h}": stem.format(h=h)
         for h in horizons for m, (stem, stat) in BUCKET_METRICS.items() if stat == "mean"
     }
+    averaged = list(dict.fromkeys(means.values()))
     wanted = {
         f"{m}__{h}": (stem.format(h=h), stat)
         for h in horizons for m, (stem, stat) in BUCKET_METRICS.items() if stat != "mean"
@@ -131,9 +135,9 @@ def bucket_stats(rows: DataFrame, space: CellSpace, horizons, extra_medians: dic
     wanted |= {name: (column, 0.5) for name, column in extra.items()}
     inputs = outcome_inputs(horizons)
     coded = code_rows(rows, {"cell_id": space.ids()}, [c for c, _ in wanted.values()], keep=inputs)
-    plain = coded.members(*inputs).groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("n"), *[e.alias(k) for k, e in means.items()]
-    )
+    plain = coded.totals(
+        n=F.lit(1), **{f"sum_{c}": F.col(c) for c in averaged}, **{f"n_{c}": F.col(c).isNotNull().cast("long") for c in averaged})
+    plain = plain.select("cell_id", "n", *[F.try_divide(f"sum_{c}", f"n_{c}").alias(k) for k, c in means.items()])
     both = plain.join(wide_quantiles(coded, wanted), "cell_id", "left")
     per_h = F.array(*[
         F.struct(F.lit(h).alias("outcome_horizon"), *[F.col(f"{m}__{h}").alias(m) for m in METRIC_COLS])

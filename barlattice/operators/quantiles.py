@@ -9,6 +9,11 @@ No group is ever brought together. The rows are read a fixed number of times:
 4. pick: only rows of those bins are counted per distinct value, and the values at the
    wanted ranks are read off.
 
+Groups that overlap (cells, marginals, cohorts, ranges) are unions of finer ones: rows with the same list of groups.
+Rows are counted by that list, and only the counts are handed on to each group of it, so a row is never repeated
+for the groups it is in. With lists that would be too many (several independent group families), a row has a list
+for each family.
+
 The result equals sorting each group and interpolating between neighbours.
 """
 
@@ -45,23 +50,42 @@ class Coded:
     columns: tuple[str, ...]
 
     def long(self, columns) -> DataFrame:
-        """(group columns, m, b, x): one row per group membership and present metric value."""
+        """(group columns, m, b, x): one row per finest group (see `fine`) and present metric value."""
         at = {c: i for i, c in enumerate(self.columns)}
         slots = F.array(*[
             F.struct(F.lit(i).alias("m"), F.col(f"_bin_{at[c]}").alias("b"), F.col(c).cast("double").alias("x"))
             for i, c in enumerate(columns)
         ])
         present = F.filter(slots, lambda s: s["b"].isNotNull())
-        return self.members(present.alias("_s")).withColumn("s", F.explode("_s")).select(*self.groups, "s.*")
-
-    def members(self, *columns) -> DataFrame:
-        """Rows with their group columns, one row per group they belong to."""
-        df = self.rows.select(*self.groups, *columns)
-        for name, kind in df.dtypes:
-            if name in self.groups and kind.startswith("array"):
-                df = df.withColumn(name, F.explode(name))
+        return self.fine(present.alias("_s")).withColumn("s", F.explode("_s")).select(*self.groups, "s.*")
+
+    def _overlapping(self) -> str | None:
+        """The group column that lists ids, or lists of ids by family; None when groups don't overlap."""
+        return next((n for n, kind in self.rows.dtypes if n in self.groups and kind.startswith("array")), None)
+
+    def fine(self, *columns) -> DataFrame:
+        """Rows by finest group: once each, or once for each family of group lists."""
+        df, name = self.rows.select(*self.groups, *columns), self._overlapping()
+        if name and dict(df.dtypes)[name].startswith("array<array"):
+            df = df.withColumn(name, F.explode(name))
         return df
 
+    def spread(self, fine: DataFrame, keep: str | None = None) -> DataFrame:
+        """What was aggregated by finest group, once for each group that it is part of (`keep`: the list under this name)."""
+        name = self._overlapping()
+        if name is None:
+            return fine
+        kept = fine.withColumn(keep, F.col(name)) if keep else fine
+        return kept.withColumn(name, F.explode(name))
+
+    def totals(self, **sums) -> DataFrame:
+        """Sums (name -> what is summed up, a column expression) of every group, added up from those of the finest groups."""
+        inputs = [c for c in self.rows.columns if c not in self.groups]
+        fine = self.fine(*inputs).groupBy(*self.groups).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+        if self._overlapping() is None:
+            return fine
+        return self.spread(fine).groupBy(*self.groups).agg(*[F.sum(n).alias(n) for n in sums])
+
 
 def code_rows(
     rows: DataFrame, groups: dict, columns, keep=(), pieces: int | None = None
@@ -93,7 +117,11 @@ def exact_quantiles(coded: Coded, metrics: list[Metric], few_groups: bool = True
     keys = list(coded.groups)
     long = coded.long([m.column for m in metrics])
     gm = keys + ["m"]
-    counts = long.groupBy(*gm, "b").agg(F.count(F.lit(1)).alias("size"))
+    lists = coded._overlapping()
+    fine = counts = long.groupBy(*gm, "b").agg(F.count(F.lit(1)).alias("size"))
+    if lists:
+        fine = stage(fine, "fine")
+        counts = coded.spread(fine).groupBy(*gm, "b").agg(F.sum("size").alias("size"))
     counts = counts.withColumns({
         "upto": F.sum("size").over(_running(gm, "b")),
         "n": F.sum("size").over(Window.partitionBy(*gm)),
@@ -123,10 +151,16 @@ def exact_quantiles(coded: Coded, metrics: list[Metric], few_groups: bool = True
             F.collect_set(F.struct("p", "frac", "side", "rank")).alias("asks"),
         )
     )
-    hits = long.join(
-        F.broadcast(by_bin.select(*gm, "b")) if few_groups else by_bin.select(*gm, "b"), gm + ["b"], "left_semi"
-    )
-    values = hits.groupBy(*gm, "b", "x").agg(F.count(F.lit(1)).alias("ties"))
+    bins = by_bin.select(*gm, "b")
+    bins = F.broadcast(bins) if few_groups else bins
+    if lists:
+        # Which finest groups' bins matter to some wanted one; then rows are looked at once, and their counts handed on.
+        matter = coded.spread(fine, keep="_list").join(bins, gm + ["b"], "left_semi")
+        matter = matter.drop(lists).withColumnRenamed("_list", lists).select(*gm, "b").distinct()
+        values = long.join(matter, gm + ["b"], "left_semi").groupBy(*gm, "b", "x").agg(F.count(F.lit(1)).alias("ties"))
+        values = coded.spread(values).join(bins, gm + ["b"], "left_semi").groupBy(*gm, "b", "x").agg(F.sum("ties").alias("ties"))
+    else:
+        values = long.join(bins, gm + ["b"], "left_semi").groupBy(*gm, "b", "x").agg(F.count(F.lit(1)).alias("ties"))
     values = values.withColumn("upto", F.sum("ties").over(_running(gm + ["b"], "x")))
     # The coded values may be many; only the wanted bins may travel.
     asked = F.broadcast(by_bin) if few_groups else by_bin.hint("merge")

@@ -321,7 +321,7 @@ def push_distribution(rows: DataFrame, conf: StudyConfig = DEFAULT.study) -> Dat
                           where=in_slice("rs", name, conf) & (F.col(f"{stem}_{h}d") == 1.0))
     names = dict(zip(cfg.PULLBACK_PERCENTILE_NAMES, cfg.PULLBACK_PERCENTILES))
     coded = code_rows(strong, {"cell_id": space.ids()}, ["dist"])
-    counts = coded.members("dist").groupBy("cell_id").agg(F.count("dist").alias("n"))
+    counts = coded.totals(n=F.col("dist").isNotNull().cast("long"))
     stats = counts.join(wide_quantiles(coded, {n: ("dist", p / 100.0) for n, p in names.items()}), "cell_id", "left")
     cells = space.frame(rows.sparkSession, "push", {
         "ema": "string", "rs_horizon": "string", "rs_population_slice": "string", "h": "string", "push_type": "string"})
@@ -376,11 +376,12 @@ def range_comparison(rows: DataFrame, conf: StudyConfig = DEFAULT.study) -> Data
         space.add("range", {"range_label": label, "range_lo": lo, "range_hi": hi, "is_v1_reference": is_ref},
                   _strong_dims(conf), where=F.col("dist").between(lo, hi))
     coded = code_rows(strong, {"cell_id": space.ids()}, [c for c, _ in mids.values()], keep=pushes.values())
-    sums = coded.members(*pushes.values()).groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(flag(F.col(c) == 1.0)).alias(f"hits_{p}") for p, c in pushes.items()],
-        *[F.avg(c).alias(f"share_{p}") for p, c in pushes.items()],
+    # Ranges overlap: rows between two neighbouring range ends are in the same ranges, and are counted once together.
+    sums = coded.totals(
+        n=F.lit(1), **{f"hits_{p}": flag(F.col(c) == 1.0) for p, c in pushes.items()},
+        **{f"sum_{p}": F.col(c) for p, c in pushes.items()}, **{f"n_{p}": F.col(c).isNotNull().cast("long") for p, c in pushes.items()},
     )
+    sums = sums.withColumns({f"share_{p}": F.try_divide(f"sum_{p}", f"n_{p}") for p in pushes})
     cells = space.frame(
         rows.sparkSession, "range",
         {"ema": "string", "rs_horizon": "string", "range_label": "string", "range_lo": "double",
