@@ -23,7 +23,10 @@ def test_matches_sql(spark, name):
     assert a.equals(b)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
+NOT_A_ROW_A_DOCUMENT = ("op12_graph_neighbours",)  # see test_neighbours
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES and n not in NOT_A_ROW_A_DOCUMENT])
 def test_gives_a_row_a_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = QUERIES[name](spark, SF)
