@@ -32,12 +32,19 @@ class Engine:
     commit: str = "unknown"
 
     def _store(self, table: str, df: DataFrame, start: date, end: date, source: str, years=None) -> DataFrame:
-        """Write the table; its lineage records the range of the stored rows (the asked one if there are none)."""
-        self.warehouse.write(table, df, years=years)
-        stored = self.warehouse.read(table)
-        first, last = stored.agg(F.min("date"), F.max("date")).first()
-        self.warehouse.write_lineage(table, first or start, last or end, source, self.commit)
-        return stored
+        """Write the table; its lineage records the range of the stored rows (the asked one if there are none).
+
+        A build of some years extends the recorded range; both come from what was observed in the writes.
+        """
+        seen, before = self.warehouse.write(table, df, years=years), None
+        if years is not None and (lineage := self.warehouse.read_lineage(table)) is not None:
+            before = lineage.filter("status = 'available'").select("data_start", "data_end").first()
+        first, last = seen["first"] or start, seen["last"] or end
+        if before is not None:
+            first, last = min(first, date.fromisoformat(before["data_start"])), max(last, date.fromisoformat(before["data_end"]))
+        self.warehouse.write_lineage(table, first, last, source, self.commit)
+        self.warehouse.write_missing(table, seen)
+        return self.warehouse.read(table)
 
     def _table(self, name: str, years=None) -> DataFrame:
         df = self.warehouse.read(name, years)

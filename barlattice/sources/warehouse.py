@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from contextlib import contextmanager
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PROCESSED_TABLES
@@ -16,41 +18,88 @@ LINEAGE = (
 )
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession):
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key, "static")
+    spark.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Warehouse:
-    """A root folder with <table>/year=YYYY data, <table>/_lineage records and reports."""
+    """A root folder with <table>/year=YYYY data, <table>/_lineage records and reports.
+
+    With `buckets`, tables that have tickers are stored in that many buckets by ticker, sorted by (ticker, date). Two such
+    tables then join on (ticker, date) without moving a row (read them under `session.joined_by_entity`). The number is a
+    property of the stored tables: choose it for their size at full length (a bucket of one year at 100 to 200 MB), and
+    open them with the same number each time. The layout is given to Spark as an external table over the folder, which
+    every session sets up for itself.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def path(self, table: str) -> str:
         if table not in PROCESSED_TABLES:
             raise KeyError(f"unknown table {table!r}; known: {list(PROCESSED_TABLES)}")
         return f"{self.root}/{table}"
 
-    def write(self, table: str, df: DataFrame, cluster_by: str = "ticker", years=None) -> None:
+    def write(self, table: str, df: DataFrame, cluster_by: str = "ticker", years=None) -> dict:
         """Replace the years that occur in `df` and no others; of the given `years`, those without rows go.
 
         Rows are rebalanced by year and a hash of the ticker and sorted inside files:
         per-ticker reads skip row groups, large pieces are split by size, small ones merged.
+        What the rows hold is observed while they are written: their number, the first and last date, and how many lack
+        each column. Nothing is read again for it.
         """
-        out = df.withColumn("year", F.year("date"))
-        if cluster_by in df.columns:
-            out = out.withColumn("_piece", F.pmod(F.xxhash64(cluster_by), F.lit(1024)))
-            out = out.hint("rebalance", F.col("year"), F.col("_piece")).drop("_piece")
-        else:
-            out = out.hint("rebalance", F.col("year"))
+        seen = Observation()
+        held = [c for c in df.columns if c not in ("date", cluster_by)]
+        out = df.observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"),
+            F.collect_set(F.year("date")).alias("years"), *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in held],
+        ).withColumn("year", F.year("date"))
         order = [c for c in (cluster_by, "source", "date") if c in df.columns]
-        (
-            out.sortWithinPartitions("year", *order)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year").parquet(f"{self.path(table)}/data")
-        )
-        if years is not None:
-            stored = self.spark.read.parquet(f"{self.path(table)}/data").filter(F.col("year").isin([int(y) for y in years]))
-            filled = {r["year"] for r in stored.select("year").distinct().collect()} & {r["year"] for r in df.select(F.year("date").alias("year")).distinct().collect()}
-            for name in children(self.spark, f"{self.path(table)}/data"):
-                if name.startswith("year=") and int(name[5:]) in set(years) - filled:
-                    remove_path(self.spark, f"{self.path(table)}/data/{name}")
+        if self.buckets and cluster_by in df.columns:
+            name = self._registered(table, df, cluster_by)
+            laid_out = out.repartition(self.buckets, cluster_by).sortWithinPartitions("year", *order)
+            with _dynamic_overwrite(self.spark):
+                laid_out.write.mode("overwrite").insertInto(name)
+        else:
+            if cluster_by in df.columns:
+                out = out.withColumn("_piece", F.pmod(F.xxhash64(cluster_by), F.lit(1024)))
+                out = out.hint("rebalance", F.col("year"), F.col("_piece")).drop("_piece")
+            else:
+                out = out.hint("rebalance", F.col("year"))
+            (
+                out.sortWithinPartitions("year", *order)
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("year").parquet(f"{self.path(table)}/data")
+            )
+        found = dict(seen.get)
+        for name in children(self.spark, f"{self.path(table)}/data") if years is not None else ():
+            if name.startswith("year=") and int(name[5:]) in set(years) - set(found["years"]):
+                remove_path(self.spark, f"{self.path(table)}/data/{name}")
+                if self.buckets and cluster_by in df.columns:
+                    self.spark.sql(f"ALTER TABLE {self._registered(table)} DROP IF EXISTS PARTITION ({name})")
+        return found
+
+    def _registered(self, table: str, like: DataFrame | None = None, cluster_by: str = "ticker") -> str:
+        """Name of the external table that tells Spark how the folder is laid out."""
+        name = f"{table}_{zlib.crc32(self.root.encode()):08x}_{self.buckets}"
+        path = f"{self.path(table)}/data"
+        if not self.spark.catalog.tableExists(name):
+            like = self.spark.read.parquet(path).drop("year") if like is None else like
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}, year int) USING parquet PARTITIONED BY (year) "
+                f"CLUSTERED BY ({cluster_by}) SORTED BY ({cluster_by}, date) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        if path_exists(self.spark, path):  # years that other sessions have stored
+            self.spark.catalog.recoverPartitions(name)
+            self.spark.catalog.refreshTable(name)
+        return name
 
     def read(self, table: str, years=None) -> DataFrame | None:
         """The table, or only some of its year directories; None when it was never built."""
@@ -58,6 +107,8 @@ class Warehouse:
         if not path_exists(self.spark, path):
             return None
         df = self.spark.read.parquet(path)
+        if self.buckets and "ticker" in df.columns:
+            df = self.spark.table(self._registered(table))
         if years is not None:
             df = df.filter(F.col("year").isin(*[int(y) for y in years]))
         return df.drop("year")
@@ -86,6 +137,17 @@ class Warehouse:
             f"{self.path(table)}/_lineage"
         )
 
+    def write_missing(self, table: str, seen: dict) -> None:
+        """Rows and missing values of each column of the last build, as its write observed them."""
+        rows = [(table, k.removeprefix("missing_"), int(v), int(seen["rows"])) for k, v in seen.items() if k.startswith("missing_")]
+        self.spark.createDataFrame(rows, "table string, column string, n_missing long, n_rows long").coalesce(1).write.mode("overwrite").json(
+            f"{self.path(table)}/_missing")
+
+    def read_missing(self, table: str) -> DataFrame | None:
+        path = f"{self.path(table)}/_missing"
+        schema = "table string, column string, n_missing long, n_rows long"
+        return self.spark.read.schema(schema).json(path) if path_exists(self.spark, path) else None
+
     def read_lineage(self, table: str) -> DataFrame | None:
         path = f"{self.path(table)}/_lineage"
         return self.spark.read.schema(LINEAGE).json(path) if path_exists(self.spark, path) else None
