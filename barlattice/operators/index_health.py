@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, IndexConfig, OutcomeConfig
 from ..functions.scalar import finite, held, pct_gap, ratio
 from ..functions.windows import INDEX, TICKER, Axis, full_mean
+from .distinct import bitmaps, counted, numbered
 from .ema import add_emas
 from .outcomes import add_outcomes
 from .technical import add_atr, add_new_high, add_new_low, add_sma
@@ -61,7 +62,13 @@ def checked_members(
 
 
 def component_counts(members: DataFrame) -> DataFrame:
-    return members.groupBy("index_id", "date").agg(F.countDistinct("constituent_ticker").alias("component_count"))
+    """Distinct members of each index and date. `members` is read twice: pass a stored or staged table."""
+    keys = ["index_id", "date"]
+    return counted(bitmaps(_with_numbers(members), keys), keys, "component_count")
+
+
+def _with_numbers(members: DataFrame) -> DataFrame:
+    return members.join(numbered(members, "constituent_ticker"), "constituent_ticker")
 
 
 # Averages whose share of members above is reported.
@@ -100,20 +107,18 @@ def members_with_panel(members: DataFrame, panel: DataFrame) -> DataFrame:
 
 def member_breadth(members: DataFrame, panel: DataFrame, conf: IndexConfig = DEFAULT.index) -> DataFrame:
     """Advance/decline, RANA, shares above averages and the high-low oscillator per index and date."""
-    joined = members_with_panel(members, panel)
-
-    def above(ma: str) -> Column:
-        over = F.count_if(held(F.col("close") > F.col(ma)))
-        return (ratio(over, F.count(ma)) * F.lit(100.0)).alias(f"pct_above_{ma}")
-
-    out = joined.groupBy("index_id", "date").agg(
-        F.countDistinct("constituent_ticker").alias("component_count"),
-        F.count_if(F.col("is_advancer")).alias("advancers"),
-        F.count_if(F.col("is_decliner")).alias("decliners"),
-        *[above(ma) for ma in ABOVE],
-        F.count_if(F.col("is_new_20d_high")).alias("new_20d_highs"),
-        F.count_if(F.col("is_new_20d_low")).alias("new_20d_lows"),
-    )
+    joined = members_with_panel(_with_numbers(members), panel)
+    keys = ["index_id", "date"]
+    one = lambda condition: F.when(condition, F.lit(1)).otherwise(F.lit(0))
+    sums = {
+        "advancers": one(F.col("is_advancer")), "decliners": one(F.col("is_decliner")),
+        "new_20d_highs": one(F.col("is_new_20d_high")), "new_20d_lows": one(F.col("is_new_20d_low")),
+        **{f"_over_{ma}": one(held(F.col("close") > F.col(ma))) for ma in ABOVE},
+        **{f"_have_{ma}": one(F.col(ma).isNotNull()) for ma in ABOVE},
+    }
+    out = counted(bitmaps(joined, keys, **sums), keys, "component_count", tuple(sums))
+    out = out.withColumns({f"pct_above_{ma}": ratio(f"_over_{ma}", f"_have_{ma}") * F.lit(100.0) for ma in ABOVE})
+    out = out.drop(*[c for c in out.columns if c.startswith(("_over_", "_have_"))])
     net = F.col("advancers") - F.col("decliners")
     osc = F.col("new_20d_highs") - F.col("new_20d_lows")
     return out.withColumns({

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, OutcomeConfig, UniverseConfig
 from ..functions.scalar import held
 from .bins import bin_of
+from .distinct import bitmaps, counted, merged, numbered
 from .quantiles import Metric, code_rows, exact_quantiles, wide_quantiles
 
 
@@ -43,9 +44,10 @@ def universe_quality(universe: DataFrame, conf: UniverseConfig = DEFAULT.univers
     )
     low = F.coalesce(F.col("median_eligible_universe_size"), F.lit(0.0)) < 50
     days = days.withColumn("warning_small_universe", low.cast("int"))
-    per_year = universe.groupBy(F.year("date").alias("y"), "ticker").agg(F.lit(1).alias("_")).groupBy("y").agg(
-        F.count(F.lit(1)).alias("tickers")
-    )
+    # Tickers a year, from bitmaps of its months.
+    numbers = universe.select("date", "ticker").join(numbered(universe, "ticker"), "ticker")
+    months = bitmaps(numbers, [F.year("date").alias("y"), F.month("date").alias("m")])
+    per_year = counted(merged(months, ["y"]), ["y"], "tickers")
     odd_tickers = universe.filter(F.col("close") > conf.implausible_close).select("ticker").distinct()
     odd = odd_tickers.agg(F.count(F.lit(1)).alias("implausible_price_ticker_count"))
     examples = odd_tickers.orderBy("ticker").limit(10).withColumn("one", F.lit(1))

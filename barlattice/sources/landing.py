@@ -63,8 +63,11 @@ def _day_paths(spark: SparkSession, root: str, source: str, start, end) -> list[
     if path_exists(spark, path):
         if start is None and end is None and not live:
             return [(path, [path])]
-        days = [d for d in day_folders(spark, path) if _within(d, start, end) and d not in live]
-        if days:
+        there = day_folders(spark, path)
+        days = [d for d in there if _within(d, start, end) and d not in live]
+        if days and 2 * len(days) >= len(there) and not live.keys() & set(there):
+            out.append((path, [path]))  # most of the folder: listed as one, and cut by the filter on the date
+        elif days:
             out.append((path, [f"{path}/date={d}" for d in days]))
     if folders:
         out.append((batches_path(root, source), folders))
@@ -111,13 +114,12 @@ def scan_shares(spark: SparkSession, path: str) -> DataFrame:
 def _file_paths(spark: SparkSession, root: str, source: str, start, end) -> list[str]:
     """Folders (or files) to list for the range, in the own or in the foreign layout."""
     path = source_path(root, source)
-    foreign = [c for c in children(spark, path) if not c.startswith(("date=", "_", "."))]
-    years = [c for c in foreign if c.startswith("year=") and _within(date(int(c[5:]), 12, 31), start, None) and _within(date(int(c[5:]), 1, 1), None, end)]
-    flat = [c for c in children(spark, path) if c.startswith("date=") and c.endswith(".parquet") and _within(date.fromisoformat(c[5:15]), start, end)]
-    own = [f for base, folders in _day_paths(spark, root, source, start, end) for f in folders if folders != [path]]
-    if not own and not foreign and not flat:
-        own = [f"{path}/date={d}" for d in day_folders(spark, path) if _within(d, start, end)]
-    return [f"{path}/{c}" for c in years + flat] + own
+    names = children(spark, path)
+    years = [c for c in names if c.startswith("year=") and _within(date(int(c[5:]), 12, 31), start, None) and _within(date(int(c[5:]), 1, 1), None, end)]
+    flat = [c for c in names if c.startswith("date=") and c.endswith(".parquet") and _within(date.fromisoformat(c[5:15]), start, end)]
+    if any(c.startswith("year=") or c.endswith(".parquet") for c in names):
+        return [f"{path}/{c}" for c in years + flat]
+    return [f for _, folders in _day_paths(spark, root, source, start, end) for f in folders]
 
 
 def landed_files(spark: SparkSession, root: str, source: str, start=None, end=None) -> DataFrame:

@@ -98,3 +98,28 @@ def test_structure_flags_and_drawdown(frame, collected):
         assert res.qqq_ema20_lost_within_window_10d[i] == float(lost)
         assert res.qqq_ema20_reclaimed_within_window_10d[i] == float(back)
     assert res.qqq_max_drawdown_pct_10d[70:].isna().all()
+
+
+def test_distinct_counts_by_bitmaps(spark):
+    from pyspark.sql import functions as F
+
+    from barlattice.operators.distinct import bitmaps, counted, merged, numbered
+
+    rows = spark.range(60_000).select((F.col("id") % 40_000).cast("string").alias("who"), (F.col("id") % 3).alias("g"), (F.col("id") % 12).alias("fine"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 0, 0)], "who string, g long, fine long"))
+    numbers = numbered(rows, "who")
+    assert numbers.count() == numbers.select("number").distinct().count() == 40_000
+    fine = bitmaps(rows.join(numbers, "who"), ["g", "fine"], times=F.lit(1))
+    want = {r["g"]: (r["n"], r["k"]) for r in rows.groupBy("g").agg(F.countDistinct("who").alias("n"), F.count("who").alias("k")).collect()}
+    assert {r["g"]: r["n"] for r in counted(merged(fine, ["g"]), ["g"]).collect()} == {g: n for g, (n, _) in want.items()}
+    assert sum(r["times"] for r in counted(fine, ["g", "fine"], sums=("times",)).collect()) == 60_000
+
+
+def test_index_breadth_has_no_distinct_aggregate(spark):
+    from barlattice.operators.index_health import component_counts
+
+    members = spark.createDataFrame([("I", 1, "A"), ("I", 1, "A"), ("I", 1, "B"), ("I", 2, "A")], "index_id string, date int, constituent_ticker string")
+    counts = component_counts(members)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan.lower() and "Expand" not in plan and "bitmap_construct_agg" in plan
+    assert {(r["date"], r["component_count"]) for r in counts.collect()} == {(1, 2), (2, 1)}
