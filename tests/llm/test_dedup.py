@@ -236,6 +236,18 @@ def test_near_groups_of_small_sets(spark, seed, monkeypatch):
         assert got == ordered(near_wanted(rows)), boundary
 
 
+def test_largest_partner_by_place(spark):
+    """The bound by place equals a search, and bands never part a size from one that it may reach."""
+    from pyspark.sql import functions as F
+
+    rows = [(n, p) for n in (1, 2, 3, 7, 20, 146, 1000) for p in range(jaccard_join.prefix_length(n))]
+    df = spark.createDataFrame(rows, "n int, place int").withColumn("most", F.expr(jaccard_join.largest_partner()))
+    df = df.withColumn("bands", F.expr(f"{jaccard_join.band('most')} - {jaccard_join.band('n')}"))
+    for r in df.collect():
+        fit = [m for m in jaccard_join.partner_sizes(r["n"]) if jaccard_join.needed(r["n"], m) <= r["n"] - r["place"]]
+        assert r["most"] == max(fit) and r["bands"] <= 4, r
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.choose_boundary({}) == 0
     few, many = jaccard_join.choose_boundary({8: 1000}), jaccard_join.choose_boundary({14: 1000})
