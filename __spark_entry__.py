@@ -293,6 +293,12 @@ def q_outcomes_daily(f):
     return pick(f.outcomes(), *KEY, *outcomes.outcome_columns())
 
 
+def q_outcomes_year(f):
+    """Outcomes over a quarter and a year of rows."""
+    conf = cfg.OutcomeConfig(horizons=(63, 252))
+    return pick(outcomes.stock_outcomes(f.slim(), conf), *KEY, *outcomes.outcome_columns(conf))
+
+
 def q_outcomes_from_features(f):
     return pick(outcomes.stock_outcomes(f.panel()), *KEY, *DEFAULT.outcomes.columns(10))
 
@@ -301,6 +307,16 @@ def q_prior_extension(f):
     return pick(f.with_history(), *KEY, *history.HISTORY_COLUMNS)
 
 
+def q_prior_extension_year(f):
+    """Peaks and minima over a year of rows in place of a quarter."""
+    slim = f.slim().select(*KEY, "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
+    found = history.add_prior_extension_history(slim, cfg.HistoryConfig(windows=(20, 252), peak_window=252))
+    return pick(
+        found, *KEY, "max_atr_extension_prior_20d", "max_atr_extension_prior_252d", "n_valid_days_prior_peak_window",
+        "days_since_atr_extension_peak", "atr_extension_drawdown_from_peak", "min_distance_ema10_pct_since_peak",
+        "min_distance_ema20_pct_since_peak")
+
+
 def q_candidate_state(f):
     df = f.with_history()
     return df.select(*KEY, *[classify.candidate_state(e).alias(f"candidate_state_ema{e}") for e in ("10", "20")])
@@ -798,10 +814,12 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "race_flags": _outcome_query(("reached_plus_5_before", "reached_plus_10_before")),
     "first_hit_day": q_first_hit_day,
     "outcomes_daily": q_outcomes_daily,
+    "outcomes_year": q_outcomes_year,
     "outcomes_from_features": q_outcomes_from_features,
     "study_join": q_study_join,
     "stored_year": q_stored_year,
     "prior_extension": q_prior_extension,
+    "prior_extension_year": q_prior_extension_year,
     "candidate_state": q_candidate_state,
     "rs_breadth": q_rs_breadth,
     "future_breadth": q_future_breadth,

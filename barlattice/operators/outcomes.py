@@ -1,4 +1,8 @@
-"""Forward outcomes of each row over its entity's next H rows."""
+"""Forward outcomes of each row over its entity's next H rows.
+
+Horizons of up to SHORT rows use plain offset columns; longer ones take extremes from frames built by doubling and first
+hits from one list of the rows ahead. Both give the same.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, OutcomeConfig, threshold_label
+from ..functions.extremes import add_doubled, ahead_extreme, levels_for
 from ..functions.scalar import flag, pct_move, ratio
 from ..functions.windows import TICKER, Axis
 from ..schemas import require_columns
 from .technical import add_new_high
 
+SHORT = 60
+
 
 def add_leads(df: DataFrame, longest: int, axis: Axis = TICKER) -> DataFrame:
     """High and low of each of the next `longest` rows as plain columns `_h<k>`, `_l<k>`.
@@ -48,11 +55,61 @@ def first_hit_columns(conf: OutcomeConfig, longest: int) -> dict[str, Column]:
     return out
 
 
+def _hits_in_lists(df: DataFrame, conf: OutcomeConfig, longest: int, axis: Axis) -> DataFrame:
+    """The same first hits, found in a list of the next `longest` rows' prices (an infinity where a row has no high)."""
+    listed = df.withColumns({
+        "_highs": F.collect_list(F.expr("coalesce(high, double('-infinity'))")).over(axis.ahead(longest)),
+        "_lows": F.collect_list(F.expr("coalesce(CASE WHEN high IS NOT NULL THEN low END, double('infinity'))")).over(axis.ahead(longest)),
+    })
+
+    def first(prices: str, none: str, test: str) -> Column:
+        hit = f"x <> double('{none}') AND (try_divide(x, close) - 1.0D) * 100.0D {test}"
+        return F.expr(f"cast(nullif(array_position(transform({prices}, x -> coalesce({hit}, false)), true), 0) as int)")
+
+    out = {}
+    for th in sorted({t for pair in conf.races() for t in pair}):
+        name = threshold_label(th)
+        out[f"_up_{name}"] = first("_highs", "-infinity", f">= {float(th)!r}D")
+        out[f"_down_{name}"] = first("_lows", "infinity", f"<= {-float(th)!r}D")
+    return listed.withColumns(out).drop("_highs", "_lows")
+
+
 def add_first_hits(df: DataFrame, conf: OutcomeConfig, longest: int, axis: Axis = TICKER) -> DataFrame:
+    if longest > SHORT:
+        return _hits_in_lists(df, conf, longest, axis)
     out = add_leads(df, longest, axis)
     return out.withColumns(first_hit_columns(conf, longest)).drop(*lead_names(longest))
 
 
+def _reach_by_offsets(df: DataFrame, conf: OutcomeConfig, horizons: tuple[int, ...], axis: Axis) -> DataFrame:
+    """Adds first hits and, for each horizon, whether it is complete and its highest and lowest price."""
+    longest = max(horizons)
+    out = add_leads(df, longest, axis)
+    reach = first_hit_columns(conf, longest)
+    for h in horizons:
+        highs, lows = ([f"_{c}{k}" for k in range(1, h + 1)] for c in ("h", "l"))
+        # A window is complete when all its highs are there.
+        reach[f"_full_{h}"] = F.expr(" AND ".join(f"{x} IS NOT NULL" for x in highs))
+        reach[f"_top_{h}"] = F.expr(f"greatest({', '.join(highs)})" if h > 1 else highs[0])
+        reach[f"_bottom_{h}"] = F.expr(f"least({', '.join(lows)})" if h > 1 else lows[0])
+    return out.withColumns(reach).drop(*lead_names(longest))
+
+
+def _reach_by_doubling(df: DataFrame, conf: OutcomeConfig, horizons: tuple[int, ...], axis: Axis) -> DataFrame:
+    """The same columns for horizons of any length (the extremes only where all rows of the horizon are there)."""
+    levels = levels_for(max(horizons))
+    out = df.withColumn("_highs_so_far", F.count("high").over(axis.sofar()))
+    out = add_doubled(out, {"_dh": ("high", "greatest"), "_dl": ("low", "least")}, levels, axis)
+    reach = {}
+    for h in horizons:
+        gone = axis.offset("_highs_so_far", h) - F.col("_highs_so_far")
+        reach[f"_full_{h}"] = F.coalesce(gone == h, F.lit(False))
+        reach[f"_top_{h}"] = ahead_extreme("_dh", "greatest", h, axis)
+        reach[f"_bottom_{h}"] = ahead_extreme("_dl", "least", h, axis)
+    out = out.withColumns(reach).drop("_highs_so_far", *[f"_d{c}_{k}" for c in "hl" for k in range(levels)])
+    return _hits_in_lists(out, conf, max(horizons), axis)
+
+
 def hit_within(col: str, horizon: int) -> Column:
     """First-hit row number, or horizon + 1 when not hit inside the horizon."""
     return F.when(F.col(col) <= horizon, F.col(col)).otherwise(F.lit(horizon + 1))
@@ -87,15 +144,8 @@ def add_outcomes(
         seen_new = F.col("is_new_20d_high") & F.col("high").isNotNull()
         ahead[f"_new_{h}"] = F.max(seen_new.cast("int")).over(axis.ahead(h))
         ahead[f"_end_{h}"] = axis.lead("close", h)
-    out = add_leads(out.withColumns(ahead), longest, axis)
-    reach = first_hit_columns(conf, longest)
-    for h in horizons:
-        highs, lows = ([f"_{c}{k}" for k in range(1, h + 1)] for c in ("h", "l"))
-        # A window is complete when all its highs are there.
-        reach[f"_full_{h}"] = F.expr(" AND ".join(f"{x} IS NOT NULL" for x in highs))
-        reach[f"_top_{h}"] = F.expr(f"greatest({', '.join(highs)})" if h > 1 else highs[0])
-        reach[f"_bottom_{h}"] = F.expr(f"least({', '.join(lows)})" if h > 1 else lows[0])
-    out = out.withColumns(reach).drop(*lead_names(longest))
+    reached = _reach_by_offsets if longest <= SHORT else _reach_by_doubling
+    out = reached(out.withColumns(ahead), conf, horizons, axis)
 
     # In layers, so that each extreme is computed once and reused by its flags.
     extremes = {}

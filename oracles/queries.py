@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sql import (
-    ALL_OUTCOMES, CHG_COLS, COHORT, CROSS, CTES, DECILES, DFINE, DIST, EXT, FINE, FUTURE, H, HISTORY, HV, IX_FLAG, IX_NUM,
+    ALL_OUTCOMES, CHG_COLS, COHORT, CROSS, CTES, DECILES, DFINE, DIST, EXT, FINE, FUTURE, H, H_YEAR, HISTORY, HV, IX_FLAG, IX_NUM,
     IXO, MAS, MB_INT, MB_NUM, MROUND, MSQL, PREV, RETURNS, RS, STATE_RS, THRUST, baseline, bucket,
     outcome_names, query, r, rr, state_case, values,
 )
@@ -60,11 +60,15 @@ for name, stems in {
 Q["first_hit_day"] = """SELECT a.date, a.ticker, up5 AS first_up_5, up10 AS first_up_10, down5 AS first_down_5, down10 AS first_down_10
 FROM adj a LEFT JOIN hits h ON a.ticker = h.ticker AND a.rn = h.rn"""
 simple("outcomes_daily", "outcomes", ALL_OUTCOMES)
+simple("outcomes_year", "outcomes_year", [n for h in H_YEAR for n in outcome_names(h)])
 simple("outcomes_from_features", "outcomes", outcome_names(10))
 simple("study_join", "rows", ("rs_percentile_3m", "atr_extension", "mfe_pct_20d", "reached_3atr_20d"))
 simple("stored_year", "features", ("rs_percentile_6m", "sma50", "thrust_1m"), f"{K}, eligible")
 Q["stored_year"] += " WHERE year(date) = 2000"
 simple("prior_extension", "history", [c for c in HISTORY if not c.startswith("n_valid")], f"{K}, n_valid_days_prior_peak_window")
+simple("prior_extension_year", "history_year", [
+    "max_atr_extension_prior_20d", "max_atr_extension_prior_252d", "days_since_atr_extension_peak", "atr_extension_drawdown_from_peak",
+    "min_distance_ema10_pct_since_peak", "min_distance_ema20_pct_since_peak"], f"{K}, n_valid_days_prior_peak_window")
 Q["candidate_state"] = f"""SELECT h.date, h.ticker, {state_case('10')} AS candidate_state_ema10, {state_case('20')} AS candidate_state_ema20
 FROM history h JOIN (SELECT ticker, rn, atr_extension, distance_ema10_pct, distance_ema20_pct FROM f7) f
 ON h.ticker = f.ticker AND h.rn = f.rn"""

@@ -5,7 +5,10 @@ Written against the raw tables alone; nothing here uses the Spark package.
 
 from __future__ import annotations
 
+import re
+
 H = (5, 10, 20)
+H_YEAR = (63, 252)
 RS = {
     "rs_percentile_1d": "return_1d", "rs_percentile_1w": "return_5d", "rs_percentile_1m": "return_21d",
     "rs_percentile_3m": "return_3m", "rs_percentile_6m": "return_6m", "rs_percentile_12m": "return_12m",
@@ -173,14 +176,21 @@ CTES["o0"] = (
     "SELECT date, ticker, rn, close, high, low, atr14, coalesce(high > "
     + full("max", "high", 20, "20 PRECEDING AND 1 PRECEDING") + ", false) AS is_new FROM f3"
 )
-CTES["o1"] = (
-    "SELECT *, " + ", ".join(
-        f"count(high) OVER w{h} AS n{h}, max(high) OVER w{h} AS top{h}, min(low) OVER w{h} AS bot{h}, "
-        f"max(is_new::INT) OVER w{h} AS new{h}, lead(close, {h}) OVER wt AS end{h}" for h in H
+
+
+def _ahead(horizons) -> str:
+    return (
+        "SELECT *, " + ", ".join(
+            f"count(high) OVER w{h} AS n{h}, max(high) OVER w{h} AS top{h}, min(low) OVER w{h} AS bot{h}, "
+            f"max(is_new::INT) OVER w{h} AS new{h}, lead(close, {h}) OVER wt AS end{h}" for h in horizons
+        )
+        + " FROM o0 WINDOW wt AS (PARTITION BY ticker ORDER BY date), "
+        + ", ".join(f"w{h} AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in horizons)
     )
-    + " FROM o0 WINDOW wt AS (PARTITION BY ticker ORDER BY date), "
-    + ", ".join(f"w{h} AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in H)
-)
+
+
+CTES["o1"] = _ahead(H)
+CTES["o1_year"] = _ahead(H_YEAR)
 CTES["hits"] = (
     "SELECT a.ticker, a.rn, " + ", ".join(
         f"min(CASE WHEN (b.high / a.close - 1::DOUBLE) * 100::DOUBLE >= {t} THEN b.rn - a.rn END) AS up{t}, "
@@ -189,6 +199,7 @@ CTES["hits"] = (
     )
     + " FROM adj a JOIN adj b ON a.ticker = b.ticker AND b.rn BETWEEN a.rn + 1 AND a.rn + 20 GROUP BY a.ticker, a.rn"
 )
+CTES["hits_year"] = CTES["hits"].replace("a.rn + 20 ", f"a.rn + {max(H_YEAR)} ")
 
 
 def _outcome_cols(h: int) -> list[str]:
@@ -230,6 +241,10 @@ CTES["outcomes"] = (
     "SELECT o1.date, o1.ticker, o1.rn, " + ", ".join(c for h in H for c in _outcome_cols(h))
     + " FROM o1 LEFT JOIN hits ON o1.ticker = hits.ticker AND o1.rn = hits.rn"
 )
+CTES["outcomes_year"] = (
+    "SELECT o.date, o.ticker, o.rn, " + ", ".join(c for h in H_YEAR for c in _outcome_cols(h))
+    + " FROM o1_year o LEFT JOIN hits_year y ON o.ticker = y.ticker AND o.rn = y.rn"
+)
 
 # --- history
 CTES["prior"] = """
@@ -258,6 +273,18 @@ FROM f7 a LEFT JOIN prior ON a.ticker = prior.ticker AND a.rn = prior.rn
 LEFT JOIN peaks ON a.ticker = peaks.ticker AND a.rn = peaks.rn
 LEFT JOIN since ON a.ticker = since.ticker AND a.rn = since.rn
 """
+# The same over a year of rows.
+for _name in ("prior", "peaks", "since"):
+    CTES[f"{_name}_year"] = re.sub(r"\b(prior|peaks)\b", r"\1_year", CTES[_name]).replace("- 60", "- 252")
+CTES["history_year"] = """
+SELECT a.date, a.ticker, p20 AS max_atr_extension_prior_20d, peak AS max_atr_extension_prior_252d,
+  coalesce(n_valid, 0) AS n_valid_days_prior_peak_window, (a.rn - peak_rn)::DOUBLE AS days_since_atr_extension_peak,
+  a.atr_extension - peak AS atr_extension_drawdown_from_peak,
+  m10 AS min_distance_ema10_pct_since_peak, m20 AS min_distance_ema20_pct_since_peak
+FROM f7 a LEFT JOIN prior_year p ON a.ticker = p.ticker AND a.rn = p.rn
+LEFT JOIN peaks_year k ON a.ticker = k.ticker AND a.rn = k.rn
+LEFT JOIN since_year s ON a.ticker = s.ticker AND a.rn = s.rn
+"""
 HISTORY = [
     "max_atr_extension_prior_20d", "max_atr_extension_prior_40d", "max_atr_extension_prior_60d", "atr_extension_peak",
     "n_valid_days_prior_peak_window", "days_since_atr_extension_peak", "atr_extension_drawdown_from_peak",

@@ -49,6 +49,31 @@ def test_against_brute_force(frame, collected):
     np.testing.assert_allclose(out.max_atr_extension_prior_20d, w20)
 
 
+@pytest.mark.parametrize("w", [61, 64, 252])
+def test_long_windows(frame, collected, w):
+    pdf = make(420)
+    df = add_prior_extension_history(frame(pdf), HistoryConfig(windows=(20, w), peak_window=w))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_d10_" not in plan and plan.count("lag(") + plan.count("lead(") < 120
+    out = collected(df, "ticker", "date")
+    want = pd.concat([brute(g.reset_index(drop=True), w) for _, g in pdf.groupby("ticker")], ignore_index=True)
+    np.testing.assert_allclose(out.atr_extension_peak, want.peak)
+    np.testing.assert_allclose(out[f"max_atr_extension_prior_{w}d"], want.peak)
+    np.testing.assert_allclose(out.days_since_atr_extension_peak, want.days)
+    assert out.n_valid_days_prior_peak_window.tolist() == want.n.tolist()
+    np.testing.assert_allclose(out.min_distance_ema10_pct_since_peak, want.m10)
+
+
+def test_both_ways_agree(frame, collected, monkeypatch):
+    from barlattice.operators import history
+
+    pdf = make(150, seed=9)
+    pdf.loc[::7, "distance_ema20_pct"] = np.nan
+    short = collected(add_prior_extension_history(frame(pdf)), "ticker", "date")
+    monkeypatch.setattr(history, "SHORT", 0)
+    pd.testing.assert_frame_equal(short, collected(add_prior_extension_history(frame(pdf)), "ticker", "date")[list(short.columns)])
+
+
 def test_first_of_equal_peaks_wins(frame, collected):
     ext = [1, 9, 2, 9, 3, 0]
     pdf = make(6, tickers=("A",)).assign(atr_extension=[float(x) for x in ext])

@@ -115,3 +115,27 @@ def test_random_walks_against_brute_force(frame, collected):
 def test_required_columns(frame, simple):
     with pytest.raises(ValueError, match="atr14"):
         stock_outcomes(frame(simple).drop("atr14"))
+
+
+@pytest.mark.parametrize("horizons", [(5, 20), (1, 7, 16, 60)])
+def test_long_way_agrees(frame, collected, monkeypatch, horizons):
+    """Doubling and lists give what offset columns give, with missing prices and incomplete ends."""
+    from barlattice.operators import outcomes
+
+    pdf = ohlcv(120, seed=11).assign(atr14=2.0)
+    pdf.loc[pdf.index % 17 == 3, "high"] = np.nan
+    pdf.loc[pdf.index % 19 == 5, "low"] = np.nan
+    pdf.loc[40, "close"] = 0.0
+    pdf.loc[41, "close"] = -3.0
+    conf = OutcomeConfig(horizons=horizons)
+    short = collected(stock_outcomes(frame(pdf), conf), "ticker", "date")
+    hits = collected(outcomes.add_first_hits(frame(pdf), conf, max(horizons)), "ticker", "date")
+    monkeypatch.setattr(outcomes, "SHORT", 0)
+    pd.testing.assert_frame_equal(short, collected(stock_outcomes(frame(pdf), conf), "ticker", "date"))
+    pd.testing.assert_frame_equal(hits, collected(outcomes.add_first_hits(frame(pdf), conf, max(horizons)), "ticker", "date"))
+
+
+def test_year_needs_no_column_a_row(frame):
+    df = stock_outcomes(frame(ohlcv(30, seed=2).assign(atr14=2.0)), OutcomeConfig(horizons=(252,)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_h252" not in plan and plan.count("lead(") < 60
