@@ -37,13 +37,9 @@ def own_names(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 @contextmanager
-def pruned_joins(spark: SparkSession):
-    """While a job runs: a join with a filtered table drops most other rows, by a runtime Bloom filter, before its shuffle.
-
-    The filter has no false negatives, so results are the same with and without it.
-    """
-    before = {k: spark.conf.get(k, None) for k in _PRUNE}
-    for k, v in _PRUNE.items():
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -52,9 +48,22 @@ def pruned_joins(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def pruned_joins(spark: SparkSession):
+    """While a job runs: a join with a filtered table drops most other rows, by a runtime Bloom filter, before its shuffle.
+
+    The filter has no false negatives, so results are the same with and without it.
+    """
+    return _settings(spark, _PRUNE)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """While a job runs: Arrow batches end at about `size` bytes, so that long texts don't add up in a batch."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written below spark.checkpoint.dir and read again; lineage ends there."""
     return stage(df, name)
 
 
-__all__ = ["LOWER", "PLAIN_WORD", "SPACED_WORD", "UPPER", "lowered", "own_names", "pruned_joins", "staged", "table"]
+__all__ = ["LOWER", "PLAIN_WORD", "SPACED_WORD", "UPPER", "lowered", "own_names", "pruned_joins", "small_batches", "staged", "table"]

@@ -10,7 +10,8 @@ document counts once, hence a window's count is at most its anchor's count, whic
 3. Windows that started in a smaller document cover the words that go.
 
 The sketch is sized by the input up to MAX_CELLS counters (two bits each when sent); beyond that size it lets more
-windows through to the exact pass and still loses none. A common passage is one summary row per window; the join with
+windows through to the exact pass and still loses none. Both passes read Arrow batches bounded by bytes and work on small
+slices of them; the sketch leaves executors and workers as soon as the windows are stored. A common passage is one summary row per window; the join with
 its many places is split by adaptive execution.
 """
 
@@ -20,15 +21,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlattice.llm.common import pruned_joins, staged, table
+from barlattice.llm.common import pruned_joins, small_batches, staged, table
 from barlattice.llm.sketch import Filling, at_least_two, cells_for, few_tasks, merged
 from barlattice.llm.textbytes import Words, pieces, signed
 
 WINDOW, GRAM = 13, 5
 MAX_CELLS = 1 << 28
+_SLICE = 1 << 18  # bytes of text at once
 _NO_ID = -(1 << 63)  # a null id is below all others
 
 
@@ -57,7 +60,7 @@ def repeated_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max
 
     def fill(batches):
         filling = Filling(cells)
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=_SLICE):
             _, anchor, new = _anchors(Words(batch.column("text")), window, gram)
             filling.add(anchor[new])
         for block, counters in filling.blocks():
@@ -66,13 +69,14 @@ def repeated_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max
     return merged(few_tasks(docs.select("text")).mapInArrow(fill, "block int, counters binary"), cells), cells
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
-    """doc_id, pos: first words of windows that also start in a document with a smaller id (docs: doc_id, text)."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> tuple[DataFrame, Broadcast]:
+    """doc_id, pos: first words of windows that also start in a document with a smaller id (docs: doc_id, text); and the
+    sketch they are found with, which the caller destroys once they are stored."""
     sketch, cells = repeated_sketch(docs, window, gram, max_cells)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def emit(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=_SLICE):
             words = Words(batch.column("text"))
             starts, anchor, _ = _anchors(words, window, gram)
             starts = starts[at_least_two(shared.value, anchor, cells)]
@@ -84,7 +88,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
 
     found = docs.mapInArrow(emit, "window long, doc_id long, pos int")
     first = found.groupBy("window").agg(F.min("doc_id").alias("first"))
-    return found.join(first, "window").filter("doc_id > first").select("doc_id", "pos")
+    return found.join(first, "window").filter("doc_id > first").select("doc_id", "pos"), shared
 
 
 _CUT = "given_id long, doc_id long, n_words long, n_removed long, kept string"
@@ -94,7 +98,7 @@ def _cutter(window: int):
     """Rows (given_id, doc_id, text, gone: window starts or null) to counts and the words that stay."""
 
     def cut(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=_SLICE):
             words = Words(batch.column("text"))
             at = batch.column("gone")
             number = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -129,10 +133,12 @@ def cut_repeats(
     touched ones are joined with their windows behind a runtime Bloom filter.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("given_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    gone = repeated_windows(rows.select("doc_id", "text"), window, gram, max_cells)
-    gone = staged(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"), F.lit(1).alias("listed")), "substring-gone")
+    with small_batches(docs.sparkSession):
+        gone, sketch = repeated_windows(rows.select("doc_id", "text"), window, gram, max_cells)
+        gone = staged(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"), F.lit(1).alias("listed")), "substring-gone")
+    sketch.destroy()
     out = lambda df: df.select("doc_id", F.col("given_id"), "n_words", "n_removed", finish(F.col("kept")).alias("kept"))
-    with pruned_joins(docs.sparkSession):
+    with pruned_joins(docs.sparkSession), small_batches(docs.sparkSession):
         met = rows.join(gone.filter("listed > 0").select("doc_id", "gone"), "doc_id").select("given_id", "doc_id", "text", "gone")
         touched = staged(out(met.mapInArrow(_cutter(window), _CUT)), "substring-touched")
     bare = rows.withColumn("gone", F.lit(None).cast("array<int>")).select("given_id", "doc_id", "text", "gone")

@@ -64,8 +64,8 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows in order, in slices of about SLICE_BYTES of text (a longer text is alone), so memory is bounded."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in slices of about `most` bytes of text (a longer text is alone), so memory is bounded."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -73,7 +73,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at = 0
         total = np.concatenate([[0], np.cumsum(size)])
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
