@@ -18,7 +18,7 @@ CHECKED = [
     "prior_extension", "candidate_state", "market_breadth_daily", "rs_benchmark_common", "rs_x_atr",
     "repeat_offender_ema20", "candidate_states_ema10", "push_distance_distribution", "pullback_range_comparison",
     "index_health_daily", "index_outcomes_daily", "universe_quality", "cap_sensitivity", "sanity_atr_extension",
-    "coverage_gaps", "time_splits",
+    "coverage_gaps", "time_splits", "prior_extension_year", "outcomes_year",
 ]
 
 
