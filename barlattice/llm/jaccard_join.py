@@ -10,8 +10,9 @@ Identical sets are one class (a 128-bit digest of the set), so copies never meet
   sketch), rare first: the lists scanned are short, and very common passages stay out of them.
 * The boundary is the largest size for which the subsets of a set cost less than scanning its lists.
 
-Scanning a list goes in three rounds, and links are merged into components after each: every class is compared with one
-other, the smallest center of its lists; then, a few times, with a center of each list that isn't in its component yet;
+Scanning a list goes in rounds, and links are merged into components after each: every class is compared with one
+other, the smallest center of its lists; then light sets with the centers of all their subset keys that lie in other
+components; then, a few times, with a center of each list that isn't in its component yet;
 then members of different components, where they can still be linked. Groups of thousands of near copies so cost a
 few comparisons a member, and no link between components is lost.
 
@@ -277,6 +278,14 @@ def links(docs: DataFrame, signatures: DataFrame, shingle: int = SHINGLE, per_ce
     tested = staged(unordered(once, "other"), "jaccard-once")
     found = staged(checked(tested, "once"), "jaccard-once-links")
 
+    # The centers of all other subset keys: those keys go no further, so each that still parts two components is compared.
+    ends = labelled(found, "once")
+    spokes = lists.filter("NOT listed AND d1 <> center").select("d1", "center").distinct().join(ends, "d1")
+    spokes = spokes.join(ends.select(F.col("d1").alias("center"), F.col("label").alias("other")), "center")
+    pairs = staged(unordered(spokes.filter("label <> other"), "center").join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    tested = tested.unionByName(pairs)
+    found = staged(found.unionByName(checked(pairs, "pairs")), "jaccard-pairs-links")
+
     # Then, a few times, a center of each list that still holds several components, chosen anew by a hash, with those of
     # other components that it can be linked with.
     entries = lists.filter("listed").select("key", "d1", "n", "place").withColumn("most", F.expr(largest_partner(per_cent)))

@@ -236,6 +236,19 @@ def test_near_groups_of_small_sets(spark, seed, monkeypatch):
         assert got == ordered(near_wanted(rows)), boundary
 
 
+def test_small_sets_with_two_centers(spark, monkeypatch):
+    """A set that links with two others, themselves far apart: one link only shows in a key whose center isn't its smallest."""
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda *a: 12)
+    rows = []
+    for k in range(40):
+        words = [f"g{k}w{i}" for i in range(14)]  # seven shingles a text; neighbours share six of eight, others fewer
+        for shift in (0, 1, 2, 3):
+            rows.append((10 * k + shift, " ".join(words[shift : shift + 11]), "en", "a", 0))
+    want = near_wanted(rows)
+    assert {w[2] % 10 for w in want} == {0}
+    assert by_id(jaccard_join.near_groups(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == ordered(want)
+
+
 def test_largest_partner_by_place(spark):
     """The bound by place equals a search, and bands never part a size from one that it may reach."""
     from pyspark.sql import functions as F
