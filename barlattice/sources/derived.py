@@ -7,6 +7,8 @@ very many lines costs one partial row per week and input split.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ ADJUST_EVERY, ADJUST_AT, ADJUST_BY = 7, 2, 2048.0
 INDEX_ID = "IDX"
 # End of fixed values.
 
+SUPPLIERS_PER_TASK = 500
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -67,10 +71,16 @@ def _weeks(spark: SparkSession, sf_dir: str):
     return span.scalar()
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier keys, in tasks by their number: each becomes hundreds of rows, and the table is too small to be read by several tasks."""
+    keys = read(spark, sf_dir, "supplier").select("s_suppkey")
+    return keys.repartition(max(1, math.ceil(keys.count() / SUPPLIERS_PER_TASK)), "s_suppkey")
+
+
 def reference_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly listing per supplier: type, exchange; one in thirteen delists after week 300."""
     key = F.col("s_suppkey")
-    out = read(spark, sf_dir, "supplier").select(key, F.explode(_weeks(spark, sf_dir)).alias("date"))
+    out = suppliers(spark, sf_dir).select(key, F.explode(_weeks(spark, sf_dir)).alias("date"))
     out = out.filter(~((key % 13 == 5) & (week_number() >= 300)))
     return out.select(
         "date",
@@ -89,7 +99,7 @@ def monthly_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     ).scalar()
     key = F.col("s_suppkey")
-    out = read(spark, sf_dir, "supplier").select(key, F.explode(span).alias("bucket_month"))
+    out = suppliers(spark, sf_dir).select(key, F.explode(span).alias("bucket_month"))
     mi = F.year("bucket_month") * 12 + F.month("bucket_month")
     base = F.lit(1e6) * (F.lit(3) + (key * 5 + mi) % 5)
     return out.select(
