@@ -807,7 +807,8 @@ def q_time_splits(f):
 
 def q_study_join(f):
     """Features inner-joined to outcomes on the key, eligible rows only, as the studies read them."""
-    rows = P.study_rows(f.features().select(*FEATURE_COLUMNS), P.outcomes_table(f.panel()))
+    outs = P.outcomes_table(f.panel())  # staged first, so that the features are read from it too
+    rows = P.study_rows(f.features().select(*FEATURE_COLUMNS), outs)
     return pick(rows, *KEY, "rs_percentile_3m", "atr_extension", "mfe_pct_20d", "reached_3atr_20d")
 
 

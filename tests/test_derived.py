@@ -25,3 +25,10 @@ def test_a_job_builds_only_what_its_table_needs(spark):
     assert jobs.read("market_universe_daily").count() > 0
     assert jobs.warehouse.read("stock_features_daily") is None and jobs.warehouse.read("qqq_health_daily") is None
     entry_module.forget()
+
+
+def test_study_join_builds_one_panel(spark):
+    entry_module.forget()
+    entry_module.q_study_join(entry_module.Frames(spark, SF))
+    assert {key[2] for key in entry_module._shared} == {"raw", "panel"}
+    entry_module.forget()
