@@ -1,6 +1,7 @@
 """The derived tables: what they cost, and which jobs run for them."""
 
 import __spark_entry__ as entry_module
+from barlattice.session import stage
 from barlattice.sources import derived
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,11 @@ def test_study_join_builds_one_panel(spark):
     entry_module.q_study_join(entry_module.Frames(spark, SF))
     assert {key[2] for key in entry_module._shared} == {"raw", "panel"}
     entry_module.forget()
+
+
+def test_shuffled_rows_come_in_small_tasks(spark):
+    """Some 100 MB of shuffled rows make tasks of at most about 16 MB each, not one for each core."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(6_000_000, numPartitions=4).selectExpr("id % 100000 AS ticker", "id", "rand(1) AS x")
+    files = stage(rows.repartition("ticker"), "small-tasks").inputFiles()
+    assert len(files) >= 6 and spark.conf.get("spark.sql.shuffle.partitions") == before
