@@ -12,9 +12,10 @@ Identical sets are one class (a 128-bit digest of the set), so copies never meet
 
 Scanning a list goes in rounds, and links are merged into components after each: every class is compared with one
 other, the smallest center of its lists; then light sets with the centers of all their subset keys that lie in other
-components; then, a few times, with a center of each list that isn't in its component yet;
+components; then, a few times, with centers of each list, more in every round, that aren't in its component yet;
 then members of different components, where they can still be linked. Groups of thousands of near copies so cost a
-few comparisons a member, and no link between components is lost.
+few comparisons a member, and no link between components is lost. Lists whose members are all in one component, or
+were all centers, are left out from then on.
 
 No list is joined with itself as a whole. The first shingle that two linked sets share stands so early in both that what
 follows is long enough for the intersection they need, so an entry at place i of a set of n bounds its partners' size
@@ -22,7 +23,7 @@ follows is long enough for the intersection they need, so an entry at place i of
 (mostly none or one: later entries only wait for smaller sets) and meets the entries of sets in that band. A common
 passage, which stands behind a set's own shingles, therefore makes no pairs, however many sets hold it.
 Candidate pairs first compare small profiles (a lower bound of how far their sets are apart); those that pass are checked
-on the full sets. All rounds are stored tables.
+on the full sets. All rounds are stored tables, dropped when nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.llm.common import pruned_joins, staged, table
 from barlattice.llm.components import components
 from barlattice.llm.sketch import few_tasks
 from barlattice.llm.textbytes import Words, mixed, pieces, signed
+from barlattice.session import drop_staged
 
 SHINGLE = 5
 PER_CENT = 75
@@ -46,7 +48,7 @@ LARGEST_BOUNDARY = 14
 ORDER_CELLS = 1 << 21
 LIST_SCAN = 20.0  # cost of one place in a scanned list, in subset keys
 PROFILE = 128
-CENTER_ROUNDS = 3  # only saves comparisons: the last round is exact after any number
+CENTERS = (1, 16, 256)  # of a list, by round; only save comparisons: the last round is exact after any number
 _BLOCK = 1 << 17
 _NO_ID = -(1 << 63)  # a null id is below all others
 
@@ -229,6 +231,8 @@ def links(docs: DataFrame, signatures: DataFrame, shingle: int = SHINGLE, per_ce
     shared_keys = staged(of_lists.union(of_pairs).withColumn("many", F.lit(1)), "jaccard-keys").filter("many > 0").drop("many")
     with pruned_joins(spark):
         lists = staged(posted.join(shared_keys, ["key", "listed"]), "jaccard-lists")
+    drop_staged(posted)
+    drop_staged(shared_keys)
 
     def close(batches):
         """Pairs whose profiles allow the similarity."""
@@ -246,8 +250,8 @@ def links(docs: DataFrame, signatures: DataFrame, shingle: int = SHINGLE, per_ce
                 names=["node", "d1", "shingles"])
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """u, v: the pairs (a, b of d1) whose sets are similar enough, as representatives. Sets are made for those only
-        that pass by their profiles."""
+        """u, v: the pairs (a, b of d1) whose sets are similar enough, as representatives; stored. Sets are made for those
+        only that pass by their profiles."""
         first = classes.select(F.col("d1").alias("a"), F.col("node").alias("u"), "n", F.col("profile").alias("p"))
         second = classes.select(F.col("d1").alias("b"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("profile").alias("q"))
         near = pairs.join(first, "a").join(second, "b").select("a", "u", "n", "p", "b", "v", "m", "q")
@@ -260,52 +264,75 @@ def links(docs: DataFrame, signatures: DataFrame, shingle: int = SHINGLE, per_ce
         s = sets.select(F.col("node").alias("u"), F.col("d1").alias("a"), F.col("shingles").alias("s"))
         t = sets.select(F.col("node").alias("v"), F.col("d1").alias("b"), F.col("shingles").alias("t"))
         met = near.join(s, ["u", "a"]).join(t, ["v", "b"]).withColumn("shared", F.size(F.array_intersect("s", "t")))
-        return met.filter(f"100 * shared >= {per_cent} * (size(s) + size(t) - shared)").select("u", "v")
+        met = met.filter(f"100 * shared >= {per_cent} * (size(s) + size(t) - shared)").select("u", "v")
+        met = staged(met, f"jaccard-{name}-links")
+        for done in (near, ids, sets):
+            drop_staged(done)
+        return met
 
     def unordered(pairs: DataFrame, other: str) -> DataFrame:
         return pairs.select(F.least("d1", other).alias("a"), F.greatest("d1", other).alias("b")).distinct()
 
     def labelled(found: DataFrame, name: str) -> DataFrame:
         """d1, label: the component of each class; a class without a link is its own."""
-        reached = staged(components(found), f"jaccard-{name}-components")
+        reached = components(found)
         label = classes.select("node", "d1").join(reached, "node", "left").groupBy("d1")
-        return staged(label.agg(F.min(F.coalesce("component", "node")).alias("label")), f"jaccard-{name}-labels")
+        label = staged(label.agg(F.min(F.coalesce("component", "node")).alias("label")), f"jaccard-{name}-labels")
+        drop_staged(reached)
+        return label
+
+    def still_open(entries: DataFrame, ends: DataFrame, name: str, tried: int) -> DataFrame:
+        """Entries, with their labels (`ends`), of the lists that hold several components and more than `tried` members."""
+        now = entries.drop("label").join(ends, "d1")
+        lists = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
+        now = staged(now.join(lists.filter(f"low < high AND members > {tried}").select("key"), "key"), f"jaccard-{name}-open")
+        drop_staged(entries)
+        return now
 
     # First each member meets one center only, the smallest of all its lists: a pair a member, however long the lists.
     sized = classes.select(F.col("d1").alias("center"), F.col("n").alias("m"))
     spokes = lists.filter("d1 <> center").select("d1", "n", "center").distinct().join(sized, "center").filter(_fits("n", "m", per_cent))
     once = spokes.groupBy("d1").agg(F.min("center").alias("other"))
     tested = staged(unordered(once, "other"), "jaccard-once")
-    found = staged(checked(tested, "once"), "jaccard-once-links")
+    found = checked(tested, "once")
 
     # The centers of all other subset keys: those keys go no further, so each that still parts two components is compared.
     ends = labelled(found, "once")
     spokes = lists.filter("NOT listed AND d1 <> center").select("d1", "center").distinct().join(ends, "d1")
     spokes = spokes.join(ends.select(F.col("d1").alias("center"), F.col("label").alias("other")), "center")
     pairs = staged(unordered(spokes.filter("label <> other"), "center").join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-    tested = tested.unionByName(pairs)
-    found = staged(found.unionByName(checked(pairs, "pairs")), "jaccard-pairs-links")
-
-    # Then, a few times, a center of each list that still holds several components, chosen anew by a hash, with those of
-    # other components that it can be linked with.
+    if not pairs.isEmpty():
+        drop_staged(ends)
+        tested = tested.unionByName(pairs)
+        found = found.unionByName(checked(pairs, "pairs"))
+        ends = labelled(found, "pairs")
+
+    # Then, a few times, centers of each list that still holds several components, chosen anew by a hash, with those of
+    # other components that they can be linked with. The outliers of near copies so find one of their many neighbours.
     entries = lists.filter("listed").select("key", "d1", "n", "place").withColumn("most", F.expr(largest_partner(per_cent)))
     entries = staged(entries.groupBy("key", "d1", "n").agg(F.max("most").alias("most")), "jaccard-entries")
-    for k in range(CENTER_ROUNDS):
-        now = entries.join(labelled(found, f"round-{k}"), "d1")
-        chosen = now.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min_by(F.struct("d1", "n", "most", "label"), F.struct(F.xxhash64("d1", F.lit(k)), "d1")).alias("c"))
-        chosen = staged(chosen.filter("low < high").select("key", "c"), f"jaccard-centers-{k}")
-        spokes = now.join(chosen, "key").filter("label <> c.label AND n <= c.most AND c.n <= most")
+    drop_staged(lists)
+    tried = 0
+    for k, centers in enumerate(CENTERS):
+        entries = still_open(entries, ends, f"round-{k}", tried)
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("d1", F.lit(k)), "d1"))
+        chosen = entries.withColumn("turn", turn).filter(F.col("turn") <= centers)
+        chosen = staged(chosen.select("key", F.struct("d1", "n", "most", "label").alias("c")), f"jaccard-centers-{k}")
+        spokes = entries.join(chosen, "key").filter("label <> c.label AND n <= c.most AND c.n <= most")
         spokes = unordered(spokes.select("d1", F.col("c.d1").alias("other")), "other")
         star = staged(spokes.join(tested, ["a", "b"], "left_anti"), f"jaccard-star-{k}")
+        drop_staged(chosen)
+        tried = centers
         if star.isEmpty():
             break
         tested = tested.unionByName(star)
-        found = staged(found.unionByName(checked(star, f"star-{k}")), f"jaccard-links-{k}")
+        found = found.unionByName(checked(star, f"star-{k}"))
+        drop_staged(ends)
+        ends = labelled(found, f"star-{k}")
 
     # Then what is left: entries that can reach sets of their size or larger meet these, band by band.
-    entries = entries.join(labelled(found, "star"), "d1")
+    entries = still_open(entries, ends, "rest", tried)
+    drop_staged(ends)
     left = entries.filter("most >= n").select(
         "key", F.explode(F.expr(f"sequence({band('n')}, {band('most')})")).alias("band"),
         F.col("d1").alias("a"), F.col("n").alias("na"), F.col("most").alias("reach_a"), F.col("label").alias("la"))
@@ -316,7 +343,9 @@ def links(docs: DataFrame, signatures: DataFrame, shingle: int = SHINGLE, per_ce
         "(nb > na OR nb = na AND a < b) AND nb <= reach_a AND na <= reach_b AND la <> lb")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = staged(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-rest")
-    return components(staged(found.unionByName(checked(rest, "rest")), "jaccard-all-links"))
+    drop_staged(left)
+    drop_staged(entries)
+    return components(found.unionByName(checked(rest, "rest")))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:

@@ -249,6 +249,28 @@ def test_small_sets_with_two_centers(spark, monkeypatch):
     assert by_id(jaccard_join.near_groups(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == ordered(want)
 
 
+def test_outliers_of_near_copies_meet_few(spark, monkeypatch):
+    """Outliers that link with few of a group's many near copies: more centers find those, so few pairs are left to compare."""
+    rng, rows, left, staged = np.random.default_rng(5), [], [], jaccard_join.staged
+    words = [f"w{i}" for i in range(150)]
+    for k in range(300):
+        text = list(words)
+        for at in rng.choice(np.arange(4, 146, 6), 1 if k % 20 == 0 else 3 if k % 4 == 1 else 2, replace=False):
+            text[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(text), "en", "a", 0))
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "jaccard-rest":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    got = by_id(jaccard_join.near_groups(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == ordered(near_wanted(rows))
+    assert left[0] < 1000, left
+
+
 def test_largest_partner_by_place(spark):
     """The bound by place equals a search, and bands never part a size from one that it may reach."""
     from pyspark.sql import functions as F
