@@ -63,8 +63,8 @@ class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = tune(spark), sf_dir.rstrip("/")
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf, name)
+    def _once(self, name: str, build: Callable[[], DataFrame], *part: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf, name, *part)
         if key not in _shared:
             _shared[key] = build()
         return _shared[key]
@@ -86,19 +86,24 @@ class Frames:
     def shares(self) -> DataFrame:
         return derived.monthly_shares(self.spark, self.sf)
 
-    def _panel(self, outcomes: bool) -> DataFrame:
+    def _panel(self, outcomes: bool = True, history: bool = False, kept: Callable[[DataFrame], DataFrame] = lambda panel: panel) -> DataFrame:
+        """The panel, or what `kept` keeps of it, staged: rows and columns that a query has no use for are never written."""
         with joined_by_entity(self.spark):
-            return stage(P.build_panel(self.bars(), self.snapshots(), self.shares(), outcomes=outcomes), "panel")
+            return stage(kept(P.build_panel(self.bars(), self.snapshots(), self.shares(), outcomes=outcomes, history=history)), "panel")
 
     def panel(self) -> DataFrame:
         """All rows: gates, features without ranks, outcomes."""
-        return self._once("panel", lambda: self._panel(True))
+        return self._once("panel", self._panel)
+
+    def eligible(self) -> DataFrame:
+        """The panel's eligible rows, for queries that look at no others."""
+        return self._once("panel", lambda: self._panel(kept=classify.eligible_only), "eligible")
 
     def slim(self) -> DataFrame:
         """The panel without outcomes, for queries that don't look ahead."""
         if (self.spark.sparkContext.applicationId, self.sf, "panel") in _shared:
             return self.panel()
-        return self._once("slim", lambda: self._panel(False))
+        return self._once("slim", lambda: self._panel(outcomes=False))
 
     def universe(self) -> DataFrame:
         """Gates only."""
@@ -111,13 +116,21 @@ class Frames:
     def outcomes(self) -> DataFrame:
         return self._once("outcomes", lambda: stage(P.build_outcomes(self.bars()), "outcomes"))
 
+    def _ranked(self, name: str, kept: Callable[[DataFrame], DataFrame], columns, sources: dict[str, str], **panel) -> DataFrame:
+        """Eligible rows of the panel that `kept` keeps (whole dates), with these columns and ranks."""
+        rows = self._panel(kept=lambda p: kept(classify.eligible_only(p)).select(
+            *KEY, *dict.fromkeys([*columns, *sources.values()])), **panel)
+        ranked = stage(P.ranked_rows(rows, columns, sources), name)
+        drop_staged(rows)
+        return ranked
+
     def rows(self) -> DataFrame:
-        """Eligible rows with ranks and outcomes."""
-        def build():
-            p = self.panel()
-            return stage(P.with_ranks(classify.eligible_only(p)), "rows")
+        """Eligible rows with RS ranks, outcomes and what else the studies read."""
+        return self._once("rows", lambda: self._ranked("rows", lambda p: p, STUDY_COLUMNS, cfg.RS_SOURCES))
 
-        return self._once("rows", build)
+    def thrusts(self) -> DataFrame:
+        """Eligible rows with thrust ranks."""
+        return self._once("thrusts", lambda: self._ranked("thrusts", lambda p: p, [], cfg.THRUST_SOURCES, outcomes=False))
 
     def features(self) -> DataFrame:
         """All rows with ranks."""
@@ -128,13 +141,10 @@ class Frames:
         return history.add_prior_extension_history(slim)
 
     def year(self) -> DataFrame:
-        """Eligible rows of the target year with ranks, outcomes and prior history."""
+        """Eligible rows of the target year with RS ranks, outcomes and prior history. Ranks are of one date, so no other year's are needed."""
         def build():
-            lookback = self.panel().filter(F.year("date") <= YEAR).select(
-                "date", "ticker", "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
-            past = history.add_prior_extension_history(lookback).filter(F.year("date") == YEAR)
-            rows = self.rows().filter(F.year("date") == YEAR)
-            return stage(rows.join(past.select("date", "ticker", *history.HISTORY_COLUMNS), ["date", "ticker"]), "year")
+            of_year = lambda p: p.filter(F.year("date") == YEAR)
+            return self._ranked("year", of_year, [*STUDY_COLUMNS, *history.HISTORY_COLUMNS], cfg.RS_SOURCES, history=True)
 
         return self._once("year", build)
 
@@ -185,6 +195,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 KEY = ["date", "ticker"]
+# What studies, breadth and sanity tables read of eligible rows, beside their key and ranks.
+STUDY_COLUMNS = ["eligible", "return_21d", "atr_extension", "distance_ema10_pct", "distance_ema20_pct", *outcomes.outcome_columns()]
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:
@@ -258,7 +270,7 @@ def q_rs_percentile(f):
 
 
 def q_thrust_percentile(f):
-    return pick(f.rows(), *KEY, *cfg.THRUST_SOURCES)
+    return pick(f.thrusts(), *KEY, *cfg.THRUST_SOURCES)
 
 
 def q_features_daily(f):
@@ -807,8 +819,8 @@ def q_time_splits(f):
 
 def q_study_join(f):
     """Features inner-joined to outcomes on the key, eligible rows only, as the studies read them."""
-    outs = P.outcomes_table(f.panel())  # staged first, so that the features are read from it too
-    rows = P.study_rows(f.features().select(*FEATURE_COLUMNS), outs)
+    eligible = f.eligible()
+    rows = P.study_rows(P.with_ranks(eligible).select(*FEATURE_COLUMNS), P.outcomes_table(eligible))
     return pick(rows, *KEY, "rs_percentile_3m", "atr_extension", "mfe_pct_20d", "reached_3atr_20d")
 
 

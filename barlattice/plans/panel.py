@@ -35,16 +35,20 @@ RANK_SOURCES = {**cfg.RS_SOURCES, **cfg.THRUST_SOURCES}
 PANEL_EMAS = [("ema10", "close", 10), ("ema20", "close", 20)] + thrust_emas()
 
 
-def with_emas_first(bars: DataFrame, axis: Axis = TICKER, first=None, state: DataFrame | None = None) -> DataFrame:
+def with_emas_first(
+    bars: DataFrame, axis: Axis = TICKER, first=None, state: DataFrame | None = None, keep: bool = True
+) -> DataFrame:
     """Bars with the EMAs the panel needs, laid out by ticker again.
 
     The Arrow pass is the one step outside generated code and ends the known layout, so it runs on the bars' few
     columns; a second exchange of narrow rows costs less than taking the whole panel through Python. With `first` and
     `state` only rows from `first` on get averages, which go on from the state; the rows before are a lookback.
+    Without `keep` the averages behind the thrusts go before that exchange, and the thrusts are there instead.
     """
     narrow = add_returns(bars.repartition(axis.key), axis, {"return_1d": 1})
     if state is None:
-        return add_emas(narrow, PANEL_EMAS, axis, co_located=True).repartition(axis.key)
+        averaged = add_emas(narrow, PANEL_EMAS, axis, co_located=True)
+        return (averaged if keep else thrust_columns(averaged).drop("return_1d")).repartition(axis.key)
     now = add_emas(narrow.filter(F.col(axis.time) >= F.lit(first)), PANEL_EMAS, axis, state=state)
     return now.unionByName(narrow.filter(F.col(axis.time) < F.lit(first)), allowMissingColumns=True).repartition(axis.key)
 
@@ -76,14 +80,17 @@ def build_panel(
     conf: EngineConfig = DEFAULT,
     axis: Axis = TICKER,
     outcomes: bool = True,
+    history: bool = False,
 ) -> DataFrame:
     """Universe gates, all features but the cross-sectional ranks, and forward outcomes.
 
-    `bars` carry `close_unadjusted`. Everything keyed by ticker is laid out by ticker once;
+    With `history` also what each row's own past says about its extension: the same layout serves those windows.
+    `bars` carry `close_unadjusted`; of their columns only the ones the panel needs are moved. Everything keyed by ticker is laid out by ticker once;
     lookups are joined on that layout (see `joined_by_entity`) and windows reuse it. The one
     Arrow pass, for EMAs, comes first and is narrow.
     """
-    df = with_emas_first(bars, axis)
+    bars = bars.select(axis.time, axis.key, "high", "low", "close", "close_unadjusted")
+    df = with_emas_first(bars, axis, keep=False)
     df = with_shares(df, shares).drop("bucket_month")
     listed = asset_type_ok(snapshots.repartition(axis.key), conf.universe)
     df = with_asset_type(df, listed)
@@ -94,10 +101,10 @@ def build_panel(
     df = add_sma50_slope(df, axis)
     df = add_sma50_persistence(df, axis)
     df = add_atr_extension(df).drop("gain_from_sma50_pct")
-    df = add_gates(df, conf.universe)
-    if outcomes:
-        df = add_outcomes(df, conf.outcomes, axis=axis).drop("is_new_20d_high")
-    return thrust_columns(add_ema_distances(df))
+    df = add_ema_distances(add_gates(df, conf.universe))
+    if history:
+        df = add_prior_extension_history(df, conf.history, axis)
+    return add_outcomes(df, conf.outcomes, axis=axis).drop("is_new_20d_high") if outcomes else df
 
 
 def build_features(
@@ -141,6 +148,12 @@ def with_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> DataF
     return ranked.unionByName(without_ranks(panel, sources))
 
 
+def ranked_rows(eligible: DataFrame, columns, sources: dict[str, str] | None = None) -> DataFrame:
+    """Eligible rows (a stored or staged table) with their ranks; of the other columns only `columns` go through the join."""
+    sources = RANK_SOURCES if sources is None else sources
+    return eligible.select("date", "ticker", *columns).join(panel_ranks(eligible, sources), ["date", "ticker"], "left")
+
+
 def without_ranks(panel: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
     """The ineligible rows of a panel, with NULL percentiles."""
     sources = RANK_SOURCES if sources is None else sources

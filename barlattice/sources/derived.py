@@ -38,14 +38,20 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("ord"),
     )
     wave = F.abs((week_number() + 7 * F.col("ticker")) % 80 - 40) / F.lit(40.0)
-    px = F.lit(100) * (F.lit(1) + F.lit(1.5) * F.col("l_discount")) * (F.lit(1) + F.lit(4) * wave)
-    return lines.withColumn("px", px).groupBy("date", "ticker").agg(
-        F.min_by("px", "ord").alias("open"),
-        F.max("px").alias("high"),
-        F.min("px").alias("low"),
-        F.max_by("px", "ord").alias("close"),
+
+    def px(discount: str):
+        """A line's price; within a week and supplier it never falls as the discount rises, so extremes and picks are of discounts,
+        which take less room in the shuffle, and prices are made of them after it."""
+        return F.lit(100) * (F.lit(1) + F.lit(1.5) * F.col(discount)) * (F.lit(1) + F.lit(4) * wave)
+
+    found = lines.groupBy("date", "ticker").agg(
+        F.min_by("l_discount", "ord").alias("open"),
+        F.max("l_discount").alias("high"),
+        F.min("l_discount").alias("low"),
+        F.max_by("l_discount", "ord").alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
+    return found.select("date", "ticker", *[px(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 def scaled(bars: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """The derived tables: what they cost, and which jobs run for them."""
 
+import time
+
 import __spark_entry__ as entry_module
 from barlattice.session import stage
 from barlattice.sources import derived
@@ -41,3 +43,74 @@ def test_shuffled_rows_come_in_small_tasks(spark):
     rows = spark.range(6_000_000, numPartitions=4).selectExpr("id % 100000 AS ticker", "id", "rand(1) AS x")
     files = stage(rows.repartition("ticker"), "small-tasks").inputFiles()
     assert len(files) >= 6 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def order_lines(spark, root, suppliers=30, weeks=75):
+    """Two lines a week and supplier from 1999 on, and their suppliers: prices move, so that some rows are eligible and some not."""
+    spark.range(suppliers).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{root}/supplier.parquet")
+    spark.range(suppliers * weeks * 2).selectExpr(
+        "id AS l_orderkey", "cast(1 AS int) AS l_linenumber", f"id % {suppliers} AS l_suppkey", "id AS l_partkey",
+        "cast(1 + id % 7 AS double) AS l_quantity", "cast(100 + id % 11 AS double) AS l_extendedprice",
+        f"cast((id * 7 + id div {suppliers}) % 11 AS double) / 100 AS l_discount",
+        f"cast(date_add(date'1999-02-01', cast(7 * (id div {2 * suppliers}) + (id div {suppliers}) % 2 AS int)) AS timestamp) AS l_shipdate",
+    ).coalesce(2).write.parquet(f"{root}/lineitem.parquet")
+    return str(root)
+
+
+def staged_rows(monkeypatch):
+    """What the queries stage: (name, rows, columns) of each table."""
+    seen = []
+
+    def noted(df, name="stage"):
+        out = stage(df, name)
+        seen.append((name, out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(entry_module, "stage", noted)
+    return seen
+
+
+def test_studies_stage_eligible_rows_only(spark, tmp_path, monkeypatch):
+    f = entry_module.Frames(spark, order_lines(spark, tmp_path))
+    entry_module.forget()
+    seen = staged_rows(monkeypatch)
+    year, rows = f.year(), f.rows()
+    bars = next(n for name, n, _ in seen if name == "raw")
+    panels = [(n, columns) for name, n, columns in seen if name == "panel"]
+    assert [n for n, _ in panels] == [year.count(), rows.count()]
+    assert 0 < year.count() < rows.count() < bars
+    assert all("sma50" not in columns for _, columns in panels)
+    whole = entry_module.P.with_ranks(entry_module.classify.eligible_only(f.panel()))
+    for name in ("rs_percentile_1m", "mfe_pct_10d", "atr_extension"):
+        assert sorted(rows.select("ticker", "date", name).collect()) == sorted(whole.select("ticker", "date", name).collect())
+    entry_module.forget()
+
+
+def test_year_rows_have_the_history_of_all_earlier_rows(spark, tmp_path):
+    entry_module.forget()
+    f = entry_module.Frames(spark, order_lines(spark, tmp_path))
+    names = ["ticker", "date", *entry_module.history.HISTORY_COLUMNS]
+    slim = f.panel().select("ticker", "date", "eligible", "atr_extension", "distance_ema10_pct", "distance_ema20_pct")
+    want = entry_module.classify.eligible_only(entry_module.history.add_prior_extension_history(slim)).filter("year(date) = 2000")
+    got = f.year().select(*names).collect()
+    assert sorted(got, key=str) == sorted(want.select(*names).collect(), key=str) and any(r["atr_extension_peak"] is not None for r in got)
+    entry_module.forget()
+
+
+def test_shuffled_files_go_when_a_table_is_staged(spark):
+    def left():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(1 for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_"))
+
+    rows = spark.range(20_000).selectExpr("id % 100 AS ticker", "rand(1) AS x")
+    for _ in range(50):  # files of earlier tests' actions may still be going
+        before = left()
+        time.sleep(0.2)
+        if left() == before:
+            break
+    assert stage(rows.repartition(4, "ticker"), "cleaned").count() == 20_000
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.2)
+    assert left() <= before
