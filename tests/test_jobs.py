@@ -109,6 +109,16 @@ def test_breadth_index_and_verify(built):
     assert built.spark.read.json(f"{built.warehouse.root}/reports/data_quality/summary").count() > 10
 
 
+def test_breadth_stages_only_what_it_reads(built, monkeypatch):
+    from barlattice.plans import jobs
+
+    e, seen = built[0] if isinstance(built, tuple) else built, []
+    monkeypatch.setattr(jobs, "stage", lambda df, name="stage", f=jobs.stage: seen.append((name, df.columns)) or f(df, name))
+    assert e._breadth().count() > 0
+    (name, columns), = seen
+    assert name == "breadth" and "mfe_pct_10d" in columns and not any(c.startswith(("new_20d", "mae_atr")) for c in columns)
+
+
 def test_missing_members_are_recorded_not_replaced(built, spark, tmp_path):
     e = engine(spark, tmp_path, EngineConfig(index=IndexConfig(min_components=99)))
     e.landed = built.landed

@@ -10,7 +10,7 @@ from conftest import ohlcv
 from pyspark.sql import functions as F
 
 from barlattice.config import EngineConfig, IndexConfig
-from barlattice.operators.ema import add_emas, ema_state
+from barlattice.operators.ema import add_emas, add_year_end, ema_state
 from barlattice.operators.technical import add_sma, add_sma50_persistence, carry_persistence
 from barlattice.plans import refresh as R
 from barlattice.plans.jobs import Engine
@@ -103,6 +103,19 @@ def test_averages_go_on_from_a_state(spark, frame):
     pd.testing.assert_frame_equal(whole, parts, rtol=1e-13, atol=0)
 
 
+def test_year_ends_hold_the_state_of_each_year(spark, frame):
+    pdf = ohlcv(300, ("AAA", "BBB", "CCC"), start="2022-06-01")
+    pdf.loc[(pdf.ticker == "AAA") & (pdf.index % 7 == 3), "close"] = np.nan
+    pdf.loc[(pdf.ticker == "BBB") & (pdf.date > "2022-12-20") & (pdf.date < "2023-02-01"), "close"] = np.nan  # old at the year's end
+    pdf = pdf[~((pdf.ticker == "CCC") & (pdf.date < "2023-01-01"))]
+    specs = [("e5", "close", 5), ("h9", "high", 9)]
+    df = add_emas(frame(pdf[["date", "ticker", "close", "high", "low"]]), specs).withColumn("year", F.year("date"))
+    want = ema_state(df, specs, carry=("low",), by=("year",))
+    got = add_year_end(df, specs, carry=("low",)).filter("_end IS NOT NULL").select("ticker", "year", "_end.*")
+    assert got.columns == want.columns and got.count() == 5
+    assert sorted(got.collect()) == sorted(want.collect()) and max(r["age_close"] for r in got.collect()) > 5
+
+
 def test_runs_go_on_across_the_cut(spark, frame):
     days = pd.bdate_range("2022-01-03", periods=420)
     pdf = pd.DataFrame({"date": days, "ticker": "UP", "close": np.arange(420.0) + 10})

@@ -55,3 +55,13 @@ def test_writes_observe_their_rows(spark, frame, tmp_path):
     assert seen["first"] == date(2023, 1, 2) and sorted(seen["years"]) == [2023, 2024]
     w.write_missing("stock_outcomes_daily", seen)
     assert {(r["column"], r["n_missing"], r["n_rows"]) for r in w.read_missing("stock_outcomes_daily").collect()} == {("close", 400, 1200), ("high", 0, 1200)}
+
+
+def test_rows_that_are_laid_out_are_written_by_their_tasks(spark, frame, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    w.write("stock_features_daily", rows(frame).repartition(2, "ticker"), laid_out=True)
+    df = w.read("stock_features_daily")
+    held = {(r["ticker"], r["year"], r["file"].rsplit("part-", 1)[1][:5]) for r in df.select(
+        "ticker", F.year("date").alias("year"), F.input_file_name().alias("file")).collect()}
+    assert df.count() == 1200 and len(held) == 6  # each ticker and year in one file
+    assert len({task for _, _, task in held}) == 2 and len({(t, task) for t, _, task in held}) == 3
