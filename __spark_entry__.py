@@ -150,6 +150,13 @@ class Frames:
 
         return self._once("year", build)
 
+    def rows_and_year(self) -> None:
+        """Both from one pass over the panel, for queries that read both."""
+        columns = [*STUDY_COLUMNS, *history.HISTORY_COLUMNS]
+        rows = self._once("rows", lambda: self._ranked("rows", lambda p: p, columns, cfg.RS_SOURCES, history=True))
+        if set(columns) <= set(rows.columns):
+            self._once("year", lambda: stage(rows.filter(F.year("date") == YEAR), "year"))
+
     def members(self) -> DataFrame:
         def build():
             raw = self.raw()
@@ -850,6 +857,7 @@ def q_small_sample_counts(f):
 
 def q_small_sample_studies(f):
     """Thin cells of the tables of all four studies."""
+    f.rows_and_year()
     tables = {"cross_matrix": _atr(f)["cross_matrix"]} | _opp(f) | _states(f) | S.pullback_study(f.year())
     return rounded(S.small_sample_rows({k: tables[k] for k in SMALL_SAMPLE_TABLES}))
 

@@ -86,6 +86,20 @@ def test_studies_stage_eligible_rows_only(spark, tmp_path, monkeypatch):
     entry_module.forget()
 
 
+def test_studies_of_all_rows_and_of_a_year_share_a_panel(spark, tmp_path, monkeypatch):
+    f = entry_module.Frames(spark, order_lines(spark, tmp_path))
+    entry_module.forget()
+    f.rows(), f.year()
+    alone = [sorted(df.select(*sorted(df.columns)).collect(), key=str) for df in (f.rows(), f.year())]
+    columns = sorted(f.rows().columns)
+    entry_module.forget()
+    seen = staged_rows(monkeypatch)
+    f.rows_and_year()
+    both = [sorted(df.select(*c).collect(), key=str) for df, c in ((f.rows(), columns), (f.year(), sorted(f.year().columns)))]
+    assert [name for name, _, _ in seen].count("panel") == 1 and both == alone
+    entry_module.forget()
+
+
 def test_year_rows_have_the_history_of_all_earlier_rows(spark, tmp_path):
     entry_module.forget()
     f = entry_module.Frames(spark, order_lines(spark, tmp_path))
