@@ -95,9 +95,9 @@ class Frames:
         """All rows: gates, features without ranks, outcomes."""
         return self._once("panel", self._panel)
 
-    def eligible(self) -> DataFrame:
-        """The panel's eligible rows, for queries that look at no others."""
-        return self._once("panel", lambda: self._panel(kept=classify.eligible_only), "eligible")
+    def with_eligible_key(self) -> DataFrame:
+        """The panel's rows whose key has an eligible row, for queries that look at no others."""
+        return self._once("panel", lambda: self._panel(history=True, kept=lambda p: p.filter("key_eligible").drop(*history.HISTORY_COLUMNS)), "key_eligible")
 
     def slim(self) -> DataFrame:
         """The panel without outcomes, for queries that don't look ahead."""
@@ -116,23 +116,34 @@ class Frames:
     def outcomes(self) -> DataFrame:
         return self._once("outcomes", lambda: stage(P.build_outcomes(self.bars()), "outcomes"))
 
-    def _ranked(self, name: str, kept: Callable[[DataFrame], DataFrame], columns, sources: dict[str, str], **panel) -> DataFrame:
-        """Eligible rows of the panel that `kept` keeps (whole dates), with these columns and ranks."""
-        rows = self._panel(kept=lambda p: kept(classify.eligible_only(p)).select(
-            *KEY, *dict.fromkeys([*columns, *sources.values()])), **panel)
-        ranks = stage(P.panel_ranks(rows, sources), "ranks")  # by itself, so that its shuffles are gone when wide rows are joined
-        ranked = stage(rows.select(*KEY, *columns).join(ranks, KEY, "left"), name)
-        for df in (rows, ranks):
-            drop_staged(df)
-        return ranked
+    def _ranked(self, kept: DataFrame, columns, sources: dict[str, str], name: str, history_of: DataFrame | None = None) -> DataFrame:
+        """Eligible rows of a staged part of the panel (whole dates) with these columns and ranks, joined to their key's history."""
+        ranks = stage(P.panel_ranks(kept, sources), "ranks")  # by itself, so that its shuffles are gone when wide rows are joined
+        rows = classify.eligible_only(kept).select(*KEY, "eligible", *columns).join(ranks, KEY, "left")
+        if history_of is not None:
+            rows = rows.join(history_of.select(*KEY, *history.HISTORY_COLUMNS), KEY)
+        rows = stage(rows, name)
+        drop_staged(ranks)
+        return rows
+
+    def _eligible_ranked(self, columns, sources: dict[str, str], name: str, **panel) -> DataFrame:
+        kept = self._panel(kept=lambda p: classify.eligible_only(p).select(*KEY, "eligible", *dict.fromkeys([*columns, *sources.values()])), **panel)
+        rows = self._ranked(kept, columns, sources, name)
+        drop_staged(kept)
+        return rows
+
+    def _with_past(self, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of the panel, history among their columns, whose key has an eligible row; of them what `only` keeps."""
+        columns = dict.fromkeys([*STUDY_COLUMNS, *history.HISTORY_COLUMNS, *cfg.RS_SOURCES.values()])
+        return self._panel(history=True, kept=lambda p: only(p.filter("key_eligible")).select(*KEY, "eligible", *columns))
 
     def rows(self) -> DataFrame:
         """Eligible rows with RS ranks, outcomes and what else the studies read."""
-        return self._once("rows", lambda: self._ranked("rows", lambda p: p, STUDY_COLUMNS, cfg.RS_SOURCES))
+        return self._once("rows", lambda: self._eligible_ranked(STUDY_COLUMNS, cfg.RS_SOURCES, "rows"))
 
     def thrusts(self) -> DataFrame:
         """Eligible rows with thrust ranks."""
-        return self._once("thrusts", lambda: self._ranked("thrusts", lambda p: p, [], cfg.THRUST_SOURCES, outcomes=False))
+        return self._once("thrusts", lambda: self._eligible_ranked([], cfg.THRUST_SOURCES, "thrusts", outcomes=False))
 
     def features(self) -> DataFrame:
         """All rows with ranks."""
@@ -145,17 +156,22 @@ class Frames:
     def year(self) -> DataFrame:
         """Eligible rows of the target year with RS ranks, outcomes and prior history. Ranks are of one date, so no other year's are needed."""
         def build():
-            of_year = lambda p: p.filter(F.year("date") == YEAR)
-            return self._ranked("year", of_year, [*STUDY_COLUMNS, *history.HISTORY_COLUMNS], cfg.RS_SOURCES, history=True)
+            kept = self._with_past(of_year)
+            rows = self._ranked(kept, STUDY_COLUMNS, cfg.RS_SOURCES, "year", history_of=kept)
+            drop_staged(kept)
+            return rows
 
         return self._once("year", build)
 
     def rows_and_year(self) -> None:
         """Both from one pass over the panel, for queries that read both."""
-        columns = [*STUDY_COLUMNS, *history.HISTORY_COLUMNS]
-        rows = self._once("rows", lambda: self._ranked("rows", lambda p: p, columns, cfg.RS_SOURCES, history=True))
-        if set(columns) <= set(rows.columns):
-            self._once("year", lambda: stage(rows.filter(F.year("date") == YEAR), "year"))
+        if any((self.spark.sparkContext.applicationId, self.sf, name) in _shared for name in ("rows", "year")):
+            return
+        kept = self._with_past(lambda p: p)
+        rows = self._once("rows", lambda: self._ranked(kept, STUDY_COLUMNS, cfg.RS_SOURCES, "rows"))
+        past = of_year(kept).select(*KEY, *history.HISTORY_COLUMNS)
+        self._once("year", lambda: stage(of_year(rows).join(past, KEY), "year"))
+        drop_staged(kept)
 
     def members(self) -> DataFrame:
         def build():
@@ -205,7 +221,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 KEY = ["date", "ticker"]
 # What studies, breadth and sanity tables read of eligible rows, beside their key and ranks.
-STUDY_COLUMNS = ["eligible", "return_21d", "atr_extension", "distance_ema10_pct", "distance_ema20_pct", *outcomes.outcome_columns()]
+STUDY_COLUMNS = ["return_21d", "atr_extension", "distance_ema10_pct", "distance_ema20_pct", *outcomes.outcome_columns()]
+
+
+def of_year(df: DataFrame) -> DataFrame:
+    return df.filter(F.year("date") == YEAR)
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:
@@ -828,8 +848,8 @@ def q_time_splits(f):
 
 def q_study_join(f):
     """Features inner-joined to outcomes on the key, eligible rows only, as the studies read them."""
-    eligible = f.eligible()
-    rows = P.study_rows(P.with_ranks(eligible).select(*FEATURE_COLUMNS), P.outcomes_table(eligible))
+    panel = f.with_eligible_key()
+    rows = P.study_rows(P.with_ranks(panel).select(*FEATURE_COLUMNS), P.outcomes_table(panel))
     return pick(rows, *KEY, "rs_percentile_3m", "atr_extension", "mfe_pct_20d", "reached_3atr_20d")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
@@ -85,7 +85,8 @@ def build_panel(
 ) -> DataFrame:
     """Universe gates, all features but the cross-sectional ranks, and forward outcomes.
 
-    With `history` also what each row's own past says about its extension: the same layout serves those windows.
+    With `history` also what each row's own past says about its extension, and `key_eligible`, whether a row of the same key is
+    eligible (keys may repeat): the same layout serves those windows.
     `bars` carry `close_unadjusted`; of their columns only the ones the panel needs are moved. Everything keyed by ticker is laid out by ticker once;
     lookups are joined on that layout (see `joined_by_entity`) and windows reuse it. The one
     Arrow pass, for EMAs, comes first and is narrow.
@@ -104,6 +105,7 @@ def build_panel(
     df = add_atr_extension(df).drop("gain_from_sma50_pct")
     df = add_ema_distances(add_gates(df, conf.universe))
     if history:
+        df = df.withColumn("key_eligible", F.max("eligible").over(Window.partitionBy(axis.key, axis.time)))
         df = add_prior_extension_history(df, conf.history, axis)
     return add_outcomes(df, conf.outcomes, axis=axis).drop("is_new_20d_high") if outcomes else df
 
